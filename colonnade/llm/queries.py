@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import exact_dedup, mixing, secrets
 
 QUERIES = {
+    "op5_secrets": secrets.query,
+    "op6_exact_dedup": exact_dedup.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op5_secrets": secrets.ORACLE,
+    "op6_exact_dedup": exact_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
