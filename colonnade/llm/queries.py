@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, secrets, token_files
+from . import exact_dedup, fingerprints, mixing, pieces, secrets, token_files
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.query,
     "op2_pieces": pieces.query,
     "op3_token_files": token_files.query,
     "op5_secrets": secrets.query,
