@@ -9,13 +9,15 @@ as a whole; forgetting changes the time and never the ids.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
+from .remember import Remembered
+
 VOCABULARY = "byte_bpe_50k.json"
 
 #: Fixed value: the pre-token pattern of this vocabulary's byte-level pre-tokenizer.
@@ -23,8 +25,8 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 
 _UNITS = re.compile(r"(?<=\S) (?=\S)")
 
-#: Most remembered units or pre-tokens, and the longest one that is remembered.
-REMEMBERED, LONGEST = 300_000, 64
+#: Remembered units or pre-tokens of a generation, and the longest one that is remembered.
+REMEMBERED, LONGEST = 200_000, 64
 
 
 def _byte_letters() -> dict[int, int]:
@@ -34,53 +36,37 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in prints else next(others) for b in range(256)}
 
 
-class _Known(dict):
-    """A dict that forgets all when it is full, and does not take long keys."""
-
-    def note(self, key: str, value):
-        if len(key) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class _NotAUnit(Exception):
     """A part of a text that begins or ends with white space: cut the text with care instead."""
 
 
-class _PreTokens(_Known):
-    """Pre-token -> ids as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """Texts, units and pre-tokens -> ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.model, self.letters = tokenizer.model, _byte_letters()
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.tokens = Remembered(self._token, REMEMBERED, LONGEST)
+        self.heads = Remembered(lambda part: self._unit(part, ""), REMEMBERED // 10, LONGEST)
+        self.parts = Remembered(lambda part: self._unit(part, " "), REMEMBERED, LONGEST)
 
-    def __missing__(self, token: str) -> bytes:
+    def _token(self, token: str) -> bytes:
         found = self.model.tokenize(token.encode().decode("latin1").translate(self.letters))
-        return self.note(token, np.array([x.id for x in found], dtype="<u4").tobytes())
-
-
-class _Units(_Known):
-    """Part of a text between single spaces -> ids, likewise."""
-
-    def __init__(self, tokens: _PreTokens, before: str):
-        self.tokens, self.before = tokens, before
-
-    def __missing__(self, part: str) -> bytes:
+        return array("I", [x.id for x in found]).tobytes()
+
+    def _unit(self, part: str, before: str) -> bytes:
+        if part.isascii():  # the usual cases without the pattern: a word, and one with a sign behind
+            if part.isalpha():
+                return self._token(before + part)
+            if part[:-1].isalpha() and part[-1] in ".,!?;:":
+                return self.tokens[before + part[:-1]] + self.tokens[part[-1]]
         if not part or part[0].isspace() or part[-1].isspace():
             raise _NotAUnit
-        return self.note(part, self.whole(part))
-
-    def whole(self, unit: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, PRE_TOKEN.findall(self.before + unit)))
-
+        return self._cut(before + part)
 
-class Encoder:
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokens = _PreTokens(self.tokenizer)
-        self.heads, self.parts = _Units(self.tokens, ""), _Units(self.tokens, " ")
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, PRE_TOKEN.findall(text)))
 
     def ids(self, text: str) -> bytes:
         """What the library returns for a text, as bytes."""
@@ -91,7 +77,7 @@ class Encoder:
             return self.heads[first] + b"".join(map(self.parts.__getitem__, rest))
         except _NotAUnit:
             first, *rest = _UNITS.split(text)
-            return b"".join([self.heads.whole(first), *map(self.parts.whole, rest)])
+            return self._cut(first) + b"".join([self._cut(" " + part) for part in rest])
 
 
 @lru_cache(maxsize=2)

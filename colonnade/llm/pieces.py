@@ -45,6 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
+from .remember import Remembered
+
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 PENALTY = 10.0
@@ -54,25 +56,12 @@ USER_DEFINED = 1e8
 #: One unit of score is so many steps.
 ONE = 1 << 20
 
-#: Most remembered segments, and the longest one that is remembered.
-REMEMBERED, LONGEST = 300_000, 64
+#: Remembered segments of a generation, and the longest one that is remembered.
+REMEMBERED, LONGEST = 200_000, 64
 
 Path = tuple[float, tuple[int, ...]]  # score, ids
 
 
-class _Known(dict):
-    def __init__(self, find):
-        self.find = find
-
-    def __missing__(self, key):
-        value = self.find(key)
-        if len(key) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Lattice:
     """A vocabulary, and the searches over the lattices it spans."""
 
@@ -102,7 +91,7 @@ class Lattice:
         kind = re.compile(letter)
         safe &= all(SPACE in p or bool(kind.match(p[0])) == bool(kind.match(p[1])) for p in self.pairs)
         self.coarse = re.compile(rf"{SPACE}*(?:{letter}+|(?:(?!{letter})[^{SPACE}])+)|{SPACE}+") if safe else None
-        self.parts = _Known(self._part)
+        self.parts = Remembered(self._part, REMEMBERED, LONGEST)
 
     # -- one segment ------------------------------------------------------------------------
 
