@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, pieces, secrets, token_counts, token_files
+from . import exact_dedup, fingerprints, language, mixing, pieces, secrets, token_counts, token_files
 
 QUERIES = {
+    "op7_language": language.query,
     "op8_token_counts": token_counts.query,
     "op1_fingerprints": fingerprints.query,
     "op2_pieces": pieces.query,
