@@ -43,6 +43,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from .remember import Remembered
@@ -239,30 +240,31 @@ def lattice(path: str | None = None) -> Lattice:
     return Lattice(path or public_tokenizers.path(VOCABULARY))
 
 
-def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int), score of the best path, second (score of the second best, null
-    if there is no other)."""
+def encode_pieces(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns to keep, ids (array of int), score of the best path, second (score of the
+    second best, null if there is no other)."""
 
     def run(batches):
         model = lattice(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                got = [model.encode(x.as_py()) for x in some.column(1)]
+                got = [model.encode(x.as_py()) for x in some.column(some.num_columns - 1)]
                 places = np.concatenate([[0], np.cumsum([len(g[0]) // 4 for g in got])]).astype("i4")
                 ids = pa.array(np.frombuffer(b"".join(g[0] for g in got), "<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column(0),
+                        *some.columns[:-1],
                         pa.ListArray.from_arrays(pa.array(places), ids),
                         pa.array([g[1] for g in got], pa.float64()),
                         pa.array([None if g[2] == float("inf") else g[1] - g[2] for g in got], pa.float64()),
                     ],
-                    names=["doc_id", "ids", "score", "second"],
+                    names=["doc_id", *keep, "ids", "score", "second"],
                 )
 
-    rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, score double, second double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) if keep else ""
+    return rows.mapInArrow(run, f"doc_id long, {kept}ids array<int>, score double, second double")
 
 
 def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,8 +1,70 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages, each on all that the one before it kept.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents. Defined cases
+(nulls, empty texts, repeats, empty tables, further columns) are those of the operators.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colonnade.llm import exact_dedup, language, mixing, near_dedup, pieces
+from colonnade.llm.common import documents, materialize
+
+#: A document is rejected if its language is unknown or less likely than this.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters and those of which no language is likely. The model learns from
+    the labelled documents that are not held out."""
+    model = language.train(docs.where(~language.held_out()))
+    if not model.languages:  # nothing to learn from: nothing but texts without letters can be told
+        return docs.where(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
+    rows = docs.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(docs.columns)})
+    rows = rows.withColumn("text", F.col(f"c{docs.columns.index('text')}"))
+    found = language.predict(rows, model, *(f"c{i}" for i in range(len(docs.columns))))
+    found = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.kept_rows(docs, exact_dedup.exact_dedup(docs))
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
+    groups = near_dedup.near_duplicates(docs, k=5, percent=80)
+    drop = materialize(groups.where("not kept").select(F.col("doc_id").alias("__drop")), "drop")
+    return docs.join(drop, docs.doc_id == F.col("__drop"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources to their target weights: a document comes as often as the mix takes it."""
+    return mixing.repeated(docs, materialize(mixing.mix(docs), "mixed"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, ids, score and second of every document of the mix."""
+    return pieces.encode_pieces(docs, keep=("source",))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", drop_exact),
+    ("near_dedup", drop_near),
+    ("mixing", mix),
+    ("pieces", encode),
+]
+
+#: SQL expresses neither a trained model, nor MinHash candidates, nor a search over a lattice.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs
