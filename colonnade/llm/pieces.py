@@ -58,7 +58,13 @@ USER_DEFINED = 1e8
 ONE = 1 << 20
 
 #: Remembered segments of a generation, and the longest one that is remembered.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 120_000, 64
+
+#: Longest part that is searched together with others.
+_TOGETHER = 24
+
+_U = np.uint64
+_STEP, _SPREAD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
 Path = tuple[float, tuple[int, ...]]  # score, ids
 
@@ -93,6 +99,10 @@ class Lattice:
         safe &= all(SPACE in p or bool(kind.match(p[0])) == bool(kind.match(p[1])) for p in self.pairs)
         self.coarse = re.compile(rf"{SPACE}*(?:{letter}+|(?:(?!{letter})[^{SPACE}])+)|{SPACE}+") if safe else None
         self.parts = Remembered(self._part, REMEMBERED, LONGEST)
+        self.table = self._table()
+        spelled = [bytes([self.byte[i]]) if i in self.byte else t.replace(SPACE, " ").encode("utf-8") for i, t in enumerate(self.texts)]
+        size = np.array([len(x) for x in spelled])
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(size) - size, size
 
     # -- one segment ------------------------------------------------------------------------
 
@@ -191,6 +201,106 @@ class Lattice:
         ids, scores, losses = zip(*map(self.parts.__getitem__, self._words(text)), strict=True)
         return b"".join(ids), sum(scores) / ONE, min(losses) / ONE
 
+    # -- many parts at once -----------------------------------------------------------------
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """An open-addressing table of the pieces by their digests: (digests, ids, scores, probes)."""
+        size = 1 << 18
+        keys, ids, scores, most = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.int32), 0
+        for piece, (i, score) in self.ids.items():
+            h = np.uint64(0)
+            with np.errstate(over="ignore"):
+                for c in piece:
+                    h = h * _STEP + np.uint64(ord(c) + 1)
+                slot, probes = int((h * _SPREAD) >> np.uint64(64 - 18)), 1
+            while keys[slot]:
+                slot, probes = (slot + 1) % size, probes + 1
+            keys[slot], ids[slot], scores[slot], most = h, i, score, max(most, probes)
+        return keys, ids, scores, most
+
+    def learn(self, parts: list[str]) -> None:
+        """Remember the best path of each of these parts: what ``best`` finds, for all parts of one
+        length together. Parts with a character that has no piece, and very long ones, are left out."""
+        by_size: dict[int, list[str]] = {}
+        for p in parts:
+            if len(p) <= _TOGETHER:
+                by_size.setdefault(len(p), []).append(p)
+        for some in by_size.values():
+            for at in range(0, len(some), 8192):
+                self._learn(some[at : at + 8192])
+
+    def _learn(self, parts: list[str]) -> None:
+        n, size, (keys, ids, scores, probes) = len(parts), len(parts[0]), self.table
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64) + _U(1)
+        widest = min(self.longest, size)
+        none = -(1 << 29)  # lower than any path's score here; sums of three stay in range
+        edge = np.full((size + 1, widest + 1, n), none, np.int32)  # by end and width
+        name = np.zeros((size + 1, widest + 1, n), np.int32)
+        forward = np.full((size + 1, n), none, np.int32)
+        forward[0] = 0
+        for start in range(size):
+            h = np.zeros(n, np.uint64)
+            for width in range(1, min(widest, size - start) + 1):
+                h = h * _STEP + codes[start + width - 1]
+                slot = ((h * _SPREAD) >> _U(64 - 18)).astype(np.int64)
+                score, got = edge[start + width, width], name[start + width, width]
+                hit = np.flatnonzero(keys[slot] == h)
+                score[hit], got[hit] = scores[slot[hit]], ids[slot[hit]]
+                away = np.flatnonzero((keys[slot] != h) & (keys[slot] != 0))  # perhaps in a slot behind
+                for _ in range(probes - 1):
+                    if not len(away):
+                        break
+                    slot = (slot[away] + 1) & (len(keys) - 1) if len(slot) == n else (slot[further] + 1) & (len(keys) - 1)
+                    here = keys[slot]
+                    met = np.flatnonzero(here == h[away])
+                    score[away[met]], got[away[met]] = scores[slot[met]], ids[slot[met]]
+                    further = np.flatnonzero((here != h[away]) & (here != 0))
+                    away = away[further]
+                np.maximum(forward[start + width], forward[start] + score, out=forward[start + width])
+        whole = (edge[1:, 1] > none).all(axis=0)
+        used = [w for w in range(widest, 0, -1) if (edge[:, w] > none).any()]
+        every = np.arange(n)
+        at, known = np.full(n, size), np.zeros(n, np.int32)
+        second = np.full(n, 2 * none, np.int32)
+        path, length = np.zeros((size, n), np.int32), np.zeros(n, np.int64)
+        for _ in range(size):
+            top, width = np.full(n, 2 * none, np.int32), np.zeros(n, np.int64)
+            live = at > 0
+            for w in used:  # of equal ones the longest stays
+                start = at - w
+                total = known + edge[at, w, every] + forward[start, every]
+                total[(start < 0) | ~live] = 2 * none
+                better = total > top
+                np.maximum(second, np.where(better, top, total), out=second)
+                top, width = np.where(better, total, top), np.where(better, w, width)
+            path[length[live], every[live]] = name[at, width, every][live]
+            known = known + np.where(live, edge[at, width, every], 0)
+            at, length = at - width * live, length + live
+            if not (at > 0).any():
+                break
+        loss = forward[size] - second
+        best = forward[size].tolist()
+        rows = path.T.tolist()
+        for i in np.flatnonzero(whole).tolist():
+            k = int(length[i])
+            got = array("I", rows[i][k - 1 :: -1] if k else [])
+            self.parts.note(parts[i], (got.tobytes(), best[i], int(loss[i]) if second[i] > none // 2 else math.inf))
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, float, float]]:
+        known = self.parts
+        cut = [self._words(t) if t else () for t in texts]
+        new = {w for words in cut for w in words if w not in known}
+        if len(new) > 64:
+            self.learn([w for w in new if w not in known.old])
+        out = []
+        for words in cut:
+            if not words:
+                out.append((b"", 0.0, math.inf))
+                continue
+            got = list(map(known.__getitem__, words))
+            out.append((b"".join([g[0] for g in got]), sum([g[1] for g in got]) / ONE, min([g[2] for g in got]) / ONE))
+        return out
+
     def nbest(self, text: str | None, n: int) -> list[Path]:
         """The n best paths of a whole text. Segments choose independently: a state says which of
         its paths each segment takes, and the best states come off a heap of differences."""
@@ -220,18 +330,21 @@ class Lattice:
                     heapq.heappush(heap, (lost - loss(k, 1) + loss(k + 1, 1), (*state[:-1], (k + 1, 1))))
         return found
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The texts in UTF-8 of ids that stand one text after another, ``ends`` where each ends."""
+        data, start, size = self.spelled
+        n = size[ids]
+        upto = np.cumsum(n)
+        at = np.repeat(start[ids] - (upto - n), n)
+        at += np.arange(len(at))
+        raw = data[at].tobytes()
+        cuts = np.concatenate([[0], upto])[np.concatenate([[0], ends])].tolist()
+        # the added space goes; bytes that are no text, as only other ids than encoded ones spell, are replaced
+        return [raw[a + 1 : b].decode("utf-8", "replace").encode("utf-8") for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def decode(self, ids) -> str:
-        out, spelled, texts, byte = [], bytearray(), self.texts, self.byte
-        for i in ids:
-            if (b := byte.get(i)) is not None:
-                spelled.append(b)
-                continue
-            if spelled:
-                out.append(spelled.decode("utf-8", "replace"))
-                spelled = bytearray()
-            out.append(texts[i])
-        out.append(spelled.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")[1:]
+        ids = np.array(ids, np.int64)
+        return self.decode_all(ids, np.array([len(ids)]))[0].decode("utf-8")
 
 
 @lru_cache(maxsize=2)
@@ -249,7 +362,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                got = [model.encode(x.as_py()) for x in some.column(some.num_columns - 1)]
+                got = model.encode_all(some.column(some.num_columns - 1).to_pylist())
                 places = np.concatenate([[0], np.cumsum([len(g[0]) // 4 for g in got])]).astype("i4")
                 ids = pa.array(np.frombuffer(b"".join(g[0] for g in got), "<i4"))
                 yield pa.RecordBatch.from_arrays(
@@ -267,6 +380,12 @@ def encode_pieces(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
     return rows.mapInArrow(run, f"doc_id long, {kept}ids array<int>, score double, second double")
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists one after another, and where each list ends."""
+    sizes = np.asarray(lists.value_lengths().fill_null(0))
+    return np.asarray(lists.flatten()), np.cumsum(sizes)
+
+
 def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of rows with doc_id and ids."""
 
@@ -275,7 +394,8 @@ def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                texts = [model.decode(x.as_py() or ()) for x in some.column(1)]
+                ids, ends = _flat(some.column(1))
+                texts = [x.decode("utf-8") for x in model.decode_all(ids, ends)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -288,14 +408,20 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         model = lattice(path)
         for batch in batches:
-            out = []
-            for doc_id, ids, score, second in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = model.decode(ids).encode("utf-8", "replace")
-                out.append((doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), score, second, hashlib.sha256(text).hexdigest()))
-            names = ["doc_id", "n_pieces", "ids_crc32", "score", "second", "decoded_sha256"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
-            cols = list(zip(*out, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                ids, ends = _flat(some.column(1))
+                begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                cols = {
+                    "doc_id": some.column(0),
+                    "n_pieces": pa.array(ends - begins, pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.int64()),
+                    "score": some.column(2),
+                    "second": some.column(3),
+                    "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in model.decode_all(ids, ends)], pa.string()),
+                }
+                yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, score double, second double, decoded_sha256 string"
     return encoded.select("doc_id", "ids", "score", "second").mapInArrow(run, schema)

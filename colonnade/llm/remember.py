@@ -16,9 +16,12 @@ class Remembered(dict):
         value = self.old.get(key)
         if value is None:
             value = self.find(key)
+        self.note(key, value)
+        return value
+
+    def note(self, key: str, value) -> None:
         if len(key) <= self.longest:
             if len(self) >= self.bound:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
-        return value
