@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language, mixing, near_dedup, pieces, secrets, token_counts, token_files
+from . import exact_dedup, fingerprints, language, mixing, near_dedup, pieces, repeats, secrets, token_counts, token_files
 
 QUERIES = {
+    "op9_repeats": repeats.query,
     "op4_near_dedup": near_dedup.query,
     "op7_language": language.query,
     "op8_token_counts": token_counts.query,
