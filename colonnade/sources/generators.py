@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +31,9 @@ def sorted_table(spark: SparkSession, n: int, table_id: int = 0) -> DataFrame:
 
 
 def distinct_table(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """A permutation of 0..n-1: an affine map modulo a prime from n on, walked until it falls below n."""
-    p = next(k for k in range(max(n, 2), 2 * max(n, 2) + 1) if all(k % d for d in range(2, int(k**0.5) + 1)))
-    a, b = 48271 % p or 1, (seed * 7919 + 1) % p
-    step = lambda x: F.pmod(x.cast("long") * a + b, F.lit(p))
-    df = rows(spark, n).withColumn("value", step(F.col("rid")))
-    for _ in range(64):  # values from n to p-1 are few; each is walked on along its cycle
-        df = df.withColumn("value", F.when(F.col("value") >= n, step(F.col("value"))).otherwise(F.col("value")))
-        if p == n:
-            break
-    return df.withColumn("value", F.col("value").cast("int"))
+    """A permutation of 0..n-1: an affine map modulo n by a multiplier without a common factor."""
+    a = next(k for k in range(int(n * 0.618) + 1, 2 * n + 3) if gcd(k, n) == 1)
+    return rows(spark, n).withColumn("value", F.pmod(F.col("rid") * a + (seed * 7919 + 1), F.lit(n)).cast("int"))
 
 
 def skewed_table(spark: SparkSession, n: int, one_ratio: float, seed: int = 0, most: int = DOMAIN) -> DataFrame:
