@@ -5,7 +5,7 @@ letters are hashed to ``BUCKETS`` features (n-grams of one letter and those long
 counts are damped (1 + log), weighted by inverse document frequency and scaled to length one.
 Document frequencies are counted over all documents one may learn from. The weights are fitted with
 follow-the-regularised-leader and elastic-net penalties, on a bounded sample of them: the
-``SAMPLE`` documents of each language with the smallest digests of their ids. A tenth of the sample
+``SAMPLE`` documents of each language (``SAMPLE_IN_ALL`` together) with the smallest digests of their ids. A tenth of the sample
 stays out of the fit; the temperature that makes the scores on it most likely calibrates them.
 
 What reaches the driver is bounded by BUCKETS, and by SAMPLE and the number of languages; what is
@@ -33,6 +33,8 @@ BUCKETS = 1 << 15
 LONGEST_GRAM = 4
 #: Documents of each language that the weights are fitted on, at most; and how many languages.
 SAMPLE, LANGUAGES = 1500, 200
+#: Documents of the whole sample, at most: many languages share it evenly.
+SAMPLE_IN_ALL = 6000
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SALTS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
@@ -100,7 +102,7 @@ def ftrl(
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, x = rows[i]
-            at, x = np.append(at, BUCKETS), np.append(x, 1.0)
+            at, x = np.append(at.astype(np.int64), BUCKETS), np.append(x, 1.0)
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             s = x @ w
@@ -160,6 +162,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     languages = sorted(n_of)
     if not languages:
         return Model([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
+    sample = max(10, min(sample, SAMPLE_IN_ALL // len(languages)))
     # a bound on the digest that leaves little more than the sample of each language, then the exact cut
     bound = {k: min(2**63 - 1, -(2**63) + int(min(1.0, (2 * sample + 100) / n) * 2**64)) for k, n in n_of.items()}
     near = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv])
@@ -172,13 +175,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             for lang, digest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 c = gram_counts(letters(text))
                 at = np.flatnonzero(c)
-                out.append({"lang": lang, "digest": digest, "doc_id": doc_id, "at": at, "n": c[at]})
-            schema = pa.schema([("lang", pa.string()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+                packed = at.astype("<u2").tobytes(), np.minimum(c[at], 2**32 - 1).astype("<u4").tobytes()
+                out.append({"lang": lang, "digest": digest, "doc_id": doc_id, "at": packed[0], "n": packed[1]})
+            schema = pa.schema([("lang", pa.string()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("at", pa.binary()), ("n", pa.binary())])
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     # texts are reduced to at most BUCKETS counts before they are sent anywhere
     few = few.select("lang", "digest", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    few = few.mapInArrow(sparse, "lang string, digest long, doc_id long, at array<int>, n array<int>")
+    few = few.mapInArrow(sparse, "lang string, digest long, doc_id long, at binary, n binary")
     taken = few.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "digest", "rank", "at", "n").collect()
     taken.sort(key=lambda r: (r.lang, r.rank))
     place = {k: i for i, k in enumerate(languages)}
@@ -186,10 +190,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for r in taken:
         if not r.at:
             continue
-        at = np.array(r.at)
-        x = (1 + np.log(np.array(r.n))) * idf[at]
+        at = np.frombuffer(r.at, "<u2")
+        x = (1 + np.log(np.frombuffer(r.n, "<u4").astype(np.float32))) * idf[at]
         to = out if r.rank % 10 == 0 else fit
-        to[0].append((at, x / np.sqrt((x * x).sum())))
+        to[0].append((at, (x / np.sqrt((x * x).sum())).astype(np.float32)))
         to[1].append(place[r.lang])
     weights, bias = ftrl(fit[0], np.array(fit[1], int), len(languages))
     scores = np.array([x @ weights[at] + bias for at, x in out[0]]).reshape(-1, len(languages))
