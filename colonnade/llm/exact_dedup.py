@@ -123,10 +123,8 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
 
 def kept_rows(docs: DataFrame, result: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps."""
-    cols = docs.columns
-    keep = result.where("kept").select(F.col("_f").alias("__f"), F.col("_r").alias("__r"))
-    rows = keyed(docs, "*").join(keep, (F.col("_f") == F.col("__f")) & (F.col("_r") == F.col("__r")), "left_semi")
-    return rows.select(*cols)
+    keep = result.where("kept").select("_f", "_r")
+    return keyed(docs, F.struct("*").alias("row")).join(keep, ["_f", "_r"], "left_semi").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -95,10 +95,9 @@ def mix(
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as ``mixed`` takes it."""
-    cols = docs.columns
-    takes = mixed.where("copies > 0").select(F.col("_f").alias("__f"), F.col("_r").alias("__r"), F.col("copies").alias("__n"))
-    rows = keyed(docs, "*").join(takes, (F.col("_f") == F.col("__f")) & (F.col("_r") == F.col("__r")))
-    return rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*cols)
+    takes = mixed.where("copies > 0").select("_f", "_r", "copies")
+    rows = keyed(docs, F.struct("*").alias("row")).join(takes, ["_f", "_r"])
+    return rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

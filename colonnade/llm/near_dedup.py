@@ -1,18 +1,19 @@
 """Near-duplicate documents by b-bit MinHash.
 
 A document is the set of its distinct shingles. Equal sets are one class, which its smallest doc_id
-represents; all that follows is on representatives. Minima of 96 hashes give 24 bands of four;
+represents; all that follows is on representatives. Minima of 256 hashes give 42 bands of six;
 representatives that agree in a band are candidates. Of every minimum two bits are kept, packed
-into three words; the share of equal positions, by bit counts, corrected for chance agreement (one
-in four), estimates the similarity, and candidates six standard errors below the threshold go.
-What is left is confirmed on the full sets. A pair at the threshold is missed with a probability of
-(1 - 0.8**4)**24 = 3e-6; a closer pair with less.
+into words; the share of equal positions, by bit counts, corrected for chance agreement (one in
+four), estimates the similarity, and candidates six standard errors below the threshold go. What is
+left is confirmed on the full sets. A pair at the threshold is missed with a probability of
+(1 - 0.8**6)**42 = 3e-6; a closer pair with less.
 
 Pairs within a bucket are not written out. Each bucket has a leader, the member that shares
 buckets with most others (as an original does that all copies resemble), and members are compared
 with it. What these links connect needs no other link. Members of a bucket that are still apart
 are then compared across the parts: those outside the bucket's largest part with all members of
-other parts. So no link between candidates is lost that would join two components.
+other parts, by signatures of twice as many hashes before anything is written. So no link between
+candidates is lost that would join two components.
 
 Defined cases: null and empty texts and those of white space have the empty set and are linked
 with nothing; with fewer words than a shingle has, all words are the one shingle; rows with a null
@@ -31,9 +32,12 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions
 from .graph import components
 
-BANDS, ROWS = 24, 4
-N_HASHES = BANDS * ROWS
-BITS = 2
+BANDS, ROWS, BITS = 42, 6, 2
+#: Hashes of a signature, and of the finer one.
+N_HASHES, N_FINE = 256, 512
+N_WORDS, N_FINE_WORDS = N_HASHES * BITS // 64, N_FINE * BITS // 64
+#: Standard errors of an estimate by which a candidate must fall short to go.
+SURE = 6
 #: Members compared with one replica of a leader.
 PER_REPLICA = 256
 
@@ -43,7 +47,7 @@ _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]  # A-Z in lower case
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_KEYS = _RNG.integers(0, 2**63, (N_HASHES, 2), dtype=np.uint64) * _U(2) + _U(1)
+_KEYS = _RNG.integers(0, 2**63, (N_HASHES + N_FINE, 2), dtype=np.uint64) * _U(2) + _U(1)
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
 
@@ -109,6 +113,26 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.cumsum(np.bincount(owner, minlength=len(texts)))
 
 
+def minima(values: np.ndarray, starts: np.ndarray, full: np.ndarray, n: int, first: int, last: int) -> np.ndarray:
+    """[hash, set]: the least digest of each set under each hash; sets that are empty keep the greatest."""
+    low = np.zeros((last - first, n), np.uint64)
+    if len(full):
+        for h in range(first, last):
+            low[h - first, full] = np.minimum.reduceat((values ^ _KEYS[h, 0]) * _KEYS[h, 1], starts)
+    return _mix(low)
+
+
+def pack(low: np.ndarray) -> list[np.ndarray]:
+    """The lowest bits of the minima, many in a word."""
+    per_word, out = 64 // BITS, []
+    for w in range(len(low) // per_word):
+        packed = np.zeros(low.shape[1], np.uint64)
+        for i in range(per_word):
+            packed |= (low[w * per_word + i] & _U((1 << BITS) - 1)) << _U(BITS * i)
+        out.append(packed.view(np.int64))
+    return out
+
+
 def signatures(values: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """Of each set: n, a digest of the set (d1, d2), packed bits (s0, s1, ...) and band keys."""
     n = np.diff(ends, prepend=0)
@@ -120,17 +144,9 @@ def signatures(values: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         if len(full):
             d[full] = np.add.reduceat(_mix(values ^ key[0]) * key[1], starts)
         out[name] = d.view(np.int64)
-    low = np.zeros((N_HASHES, len(n)), np.uint64)
-    if len(full):
-        for h in range(N_HASHES):
-            low[h, full] = np.minimum.reduceat((values ^ _KEYS[h, 0]) * _KEYS[h, 1], starts)
-    low = _mix(low)
-    per_word = 64 // BITS
-    for w in range(N_HASHES // per_word):
-        packed = np.zeros(len(n), np.uint64)
-        for i in range(per_word):
-            packed |= (low[w * per_word + i] & _U((1 << BITS) - 1)) << _U(BITS * i)
-        out[f"s{w}"] = packed.view(np.int64)
+    low = minima(values, starts, full, len(n), 0, N_HASHES)
+    for w, word in enumerate(pack(low)):
+        out[f"s{w}"] = word
     bands = np.zeros((len(n), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(n), _U(b + 1))
@@ -141,9 +157,6 @@ def signatures(values: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-N_WORDS = N_HASHES * BITS // 64
-
-
 def sign(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n, d1, d2, s0.., bands of each row."""
 
@@ -162,18 +175,35 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id long, {fields}, bands array<long>")
 
 
-def estimate(a: str, b: str):
-    """Collision-corrected similarity of two signatures, by bit counts. a, b: column prefixes."""
+def fine(texts: DataFrame, k: int) -> DataFrame:
+    """rep and the words t0, t1, ... of a signature by other hashes, more of them."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 400):
+                some = batch.slice(at, 400)
+                values, ends = shingle_sets([(x.as_py() or "").encode("utf-8") for x in some.column(1)], k)
+                n = np.diff(ends, prepend=0)
+                full = np.flatnonzero(n)
+                words = pack(minima(values, (ends - n)[full], full, len(n), N_HASHES, N_HASHES + N_FINE))
+                yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, words)], names=["rep", *(f"t{w}" for w in range(len(words)))])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, " + ", ".join(f"t{w} long" for w in range(N_FINE_WORDS)))
+
+
+def estimate(a: list[str], b: list[str]):
+    """Collision-corrected similarity of two signatures, by bit counts. a, b: their words."""
     mask = "6148914691236517205L"  # the lower bit of each pair
-    unlike = " + ".join(f"bit_count((({a}s{w} ^ {b}s{w}) | shiftrightunsigned({a}s{w} ^ {b}s{w}, 1)) & {mask})" for w in range(N_WORDS))
+    unlike = " + ".join(f"bit_count((({x} ^ {y}) | shiftrightunsigned({x} ^ {y}, 1)) & {mask})" for x, y in zip(a, b, strict=True))
     chance = 1 / 2**BITS
-    return (1 - F.expr(unlike) / N_HASHES - chance) / (1 - chance)
+    return (1 - F.expr(unlike) / (len(a) * 64 // BITS) - chance) / (1 - chance)
 
 
-def _margin(percent: int) -> float:
+def least(percent: int, n: int) -> float:
+    """An estimate by n hashes below this is ``SURE`` standard errors short of the threshold."""
     j, chance = percent / 100, 1 / 2**BITS
     p = j + (1 - j) * chance
-    return j - 6 * (p * (1 - p) / N_HASHES) ** 0.5 / (1 - chance)
+    return j - SURE * (p * (1 - p) / n) ** 0.5 / (1 - chance)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -225,10 +255,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # buckets of more than one representative, and their members
     banded = classes.select("rep", F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = materialize(crowded, "crowded")
     members = materialize(banded.join(crowded, "key"), "members")
     degrees = members.groupBy("rep").agg(F.sum("size").alias("degree"))
     ranked = members.select("key", "rep").join(degrees, "rep")
     leaders = ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "rep")).alias("l")).select("key", F.col("l.rep").alias("a"))
+    leaders = materialize(leaders, "leaders")
     needed = members.select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = materialize(texts.join(needed, texts.doc_id == needed.rep, "left_semi").dropDuplicates(["doc_id"]), "texts")
@@ -239,7 +271,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         for side in ("a", "b"):
             own = bits.select(F.col("rep").alias(side), *(F.col(w).alias(f"{side}_{w}") for w in words))
             pairs = pairs.join(own, side)
-        return pairs.where(estimate("a_", "b_") >= _margin(percent)).select("a", "b")
+        near = estimate([f"a_{w}" for w in words], [f"b_{w}" for w in words]) >= least(percent, N_HASHES)
+        return pairs.where(near).select("a", "b")
 
     stars = members.join(leaders, "key").select("a", F.col("rep").alias("b"))
     stars = materialize(alike(stars), "stars")
@@ -251,12 +284,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     parted = parted.select("key", "rep", F.coalesce("label", "rep").alias("part"))
     by_part = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
     largest = by_part.groupBy("key").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    parted = materialize(parted.join(largest.select("key", F.col("m.part").alias("main")), "key"), "parted")
-    apart = parted.where("part <> main").select("key", F.col("rep").alias("x"), F.col("part").alias("x_part"))
-    across = apart.join(parted, "key").where("x_part <> part and (part = main or x < rep)")
+    largest = materialize(largest.select("key", F.col("m.part").alias("main")), "largest")
+    parted = materialize(parted.join(largest, "key"), "parted")
+    some = texts.join(parted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    finer = materialize(fine(some, k), "fine")
+    parted = parted.join(finer, "rep")
+    apart = parted.where("part <> main").select("key", F.col("rep").alias("x"), F.col("part").alias("x_part"), *(F.col(f"t{w}").alias(f"x{w}") for w in range(N_FINE_WORDS)))
+    near = estimate([f"x{w}" for w in range(N_FINE_WORDS)], [f"t{w}" for w in range(N_FINE_WORDS)]) >= least(percent, N_FINE)
+    other = (F.col("x_part") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("rep")))
+    across = apart.alias("l").join(parted.alias("r"), (F.col("l.key") == F.col("r.key")) & other & near)
     across = across.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
     across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    across = materialize(alike(across), "across")
+    across = materialize(across, "across")
     more = materialize(confirm(across, texts, k, percent), "links")
     if more.limit(1).count():
         label = components(links.unionByName(more))
