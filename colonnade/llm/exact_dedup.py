@@ -104,9 +104,9 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
 
     # Digests that lied: their rows form groups by their bytes.
     other = checked.where("not same")
-    lied = other.groupBy("digest").agg(F.count("*").alias("n_other"))
+    lied = materialize(other.groupBy("digest").agg(F.count("*").alias("n_other")), "lied")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_f", "_r")
-    by_bytes = other.groupBy("digest", "text").agg(F.min(order).alias("head"), F.count("*").alias("size"))
+    by_bytes = materialize(other.groupBy("digest", "text").agg(F.min(order).alias("head"), F.count("*").alias("size")), "by-bytes")
     regrouped = other.join(by_bytes, ["digest", "text"])
     keep = lambda first: (F.col("_f") == F.col(f"{first}._f")) & (F.col("_r") == F.col(f"{first}._r"))
     cols = ["_f", "_r", "doc_id", "keep_id", "group_size", "kept", "digest"]

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_near_dedup": near_dedup.ORACLE,
     "op5_secrets": secrets.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,

@@ -46,6 +46,8 @@ LENGTH, GRAM = 100, 50
 BLOCK = 1024
 #: An anchor in more blocks than this is dealt out window by window.
 MANY = 64
+#: Bytes of text for which there is a shard: bounds what a task sorts at once.
+PER_SHARD = 2 << 20
 #: Windows that are anchored at once.
 _CHUNK = 1 << 23
 
@@ -206,7 +208,7 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def send_fragments(rows: DataFrame, copies: str, seen: str, n: int) -> DataFrame:
+def send_fragments(rows: DataFrame, copies: str, seen: str, n: int, shards: int) -> DataFrame:
     """shard and a blob of fragments: see ``_pack``."""
 
     def run(batches):
@@ -231,7 +233,7 @@ def send_fragments(rows: DataFrame, copies: str, seen: str, n: int) -> DataFrame
             keys = [Digests(b.data, k).of(first, end) for k in (0, 1)]
             # by the anchor, or by the window itself
             by = np.concatenate([b.digest[some], keys[0][len(some) :]])
-            to = _shard(_mix(by ^ _U(1)), n)
+            to = _shard(_mix(by ^ _U(1)), shards)
             text_of = np.searchsorted(b.ends, first, side="right")
             index = np.array(b.index)[text_of]
             place = first - np.concatenate([[0], b.ends])[text_of]
@@ -360,25 +362,40 @@ def sort_shard(files: np.ndarray, blobs: list[list[np.ndarray]]) -> tuple[np.nda
 def sort_shards(fragments: DataFrame, n: int) -> DataFrame:
     """_f, _r (first row of a block), ranges: triples of row in the block, begin and end of windows that repeat."""
 
-    def run(batches):
-        files, blobs = [], []
+    def shards(batches):
+        shard, files, blobs = None, [], []
         for batch in batches:
-            files += batch.column(1).to_pylist()
-            blobs += [_unpack(x) for x in batch.column(2).to_pylist()]
-        if not blobs:
-            return
-        file, row, low, high = sort_shard(np.array(files, np.int64), blobs)
-        block = row // BLOCK
-        order = np.lexsort((low, row, file))
-        file, row, low, high, block = (x[order] for x in (file, row, low, high, block))
-        fresh = np.ones(len(file), bool)
-        fresh[1:] = (file[1:] != file[:-1]) | (block[1:] != block[:-1])
-        cuts = np.append(np.flatnonzero(fresh), len(file)).tolist()
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            triples = np.stack([row[a:b] - block[a] * BLOCK, low[a:b], high[a:b]], axis=1).astype("<i8")
-            yield pa.RecordBatch.from_pydict({"_f": [int(file[a])], "_r": [int(block[a]) * BLOCK], "ranges": [zstandard.compress(triples.tobytes(), 1)]})
+            for s, f, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != shard:
+                    if blobs:
+                        yield files, blobs
+                    shard, files, blobs = s, [], []
+                files.append(f)
+                blobs.append(blob)
+        if blobs:
+            yield files, blobs
+
+    def run(batches):
+        for files, blobs in shards(batches):
+            file, row, low, high = sort_shard(np.array(files, np.int64), [_unpack(x) for x in blobs])
+            block = row // BLOCK
+            order = np.lexsort((low, row, file))
+            file, row, low, high, block = (x[order] for x in (file, row, low, high, block))
+            fresh = np.ones(len(file), bool)
+            fresh[1:] = (file[1:] != file[:-1]) | (block[1:] != block[:-1])
+            at = np.flatnonzero(fresh)
+            cuts = np.append(at, len(file)).tolist()
+            triples = np.stack([row - block * BLOCK, low, high], axis=1).astype("<i8")
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "_f": pa.array(file[at], pa.int64()),
+                    "_r": pa.array(block[at] * BLOCK, pa.int64()),
+                    "ranges": pa.array([zstandard.compress(triples[a:b].tobytes(), 1) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                }
+            )
 
-    return fragments.repartitionById(n, F.col("shard")).mapInArrow(run, "_f long, _r long, ranges binary")
+    dealt = fragments.repartitionById(n, F.pmod("shard", F.lit(n))).sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "_f long, _r long, ranges binary")
 
 
 def cut(rows: DataFrame, copies: str, found: str) -> DataFrame:
@@ -423,13 +440,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    ids = materialize(rows.select("_f", "_r", "doc_id", digest.alias("digest")), "digests")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    ids = materialize(rows.select("_f", "_r", "doc_id", digest.alias("digest"), size), "digests")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_f", "_r")
     groups = materialize(ids.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"), "groups")
-    copies = ids.join(groups, "digest").where("_f <> first._f or _r <> first._r")
+    copies = ids.drop("size").join(groups, "digest").where("_f <> first._f or _r <> first._r")
     copies = put(copies.select("_f", "_r"), "copies", "_r")
     seen = put(count_anchors(rows, copies, n), "seen", "_r")
-    fragments = send_fragments(rows, copies, seen, n)
+    shards = max(n, (ids.agg(F.sum("size")).first()[0] or 0) // PER_SHARD)
+    fragments = send_fragments(rows, copies, seen, n, shards)
     found = put(sort_shards(fragments, n), "found", "_r")
     return cut(rows, copies, found)
 
