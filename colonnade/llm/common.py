@@ -44,7 +44,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(spark: SparkSession, *written: DataFrame | str) -> None:
+    """Delete tables that ``materialize`` wrote, or other paths of ``scratch``, that no later plan reads."""
+    for x in written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(docs: DataFrame, *cols: Column | str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, scratch
+from .common import discard, keyed, materialize, scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -79,11 +79,12 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     spark = docs.sparkSession
     rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), normalized("text").alias("text"))
     rows = rows.withColumn("digest", digest(F.col("text")))
-    spool, out = scratch(spark, "digests"), scratch(spark, "states")
+    spool, out, checkpoint = (scratch(spark, x) for x in ("digests", "states", "stream"))
     source = rows.drop("text")
     source.write.mode("overwrite").parquet(spool)
-    first_seen(spark.readStream.schema(source.schema).parquet(spool), out, scratch(spark, "stream"))
+    first_seen(spark.readStream.schema(source.schema).parquet(spool), out, checkpoint)
     seen = materialize(states(spark, out), "seen")
+    discard(spark, spool, out, checkpoint)  # one call's stream has come to its end
 
     # Each row meets the state of its digest; only hits keep their bytes. Hot digests are on the
     # side that adaptive execution can split, the state has one row for each.
@@ -91,6 +92,7 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     met = rows.join(seen, "digest").withColumn("is_first", is_first)
     met = met.withColumn("text", F.when(F.col("n") > 1, F.col("text")))
     met = materialize(met.select("_f", "_r", "doc_id", "digest", "first", "n", "is_first", "text"), "met")
+    discard(spark, seen)
 
     # Full bytes on hits. A kept text is replicated once for so many rows of its group.
     replicas = F.ceil(F.col("n") / PER_REPLICA).cast("int")

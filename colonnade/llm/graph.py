@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("src", "dst")
     both = materialize(both.where("src <> dst").distinct(), "edges")
     labels = materialize(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("label")).withColumnRenamed("src", "node"), "labels")
+    last = labels
     while True:
         seen = both.join(labels, both.src == labels.node).groupBy("dst").agg(F.min("label").alias("near"))
         near = labels.join(seen, labels.node == seen.dst, "left")
@@ -25,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = near.select(F.col("node").alias("at"), F.col("label").alias("top"))
         new = near.join(up, near.label == up.at, "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label"))
         new = materialize(new, "labels")
-        labels = new.select("node", "label")
+        discard(edges.sparkSession, last)
+        last, labels = new, new.select("node", "label")
         if not new.where("old <> label").limit(1).count():
+            discard(edges.sparkSession, both)
             return labels

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keyed, materialize, partitions
+from .common import WORD, discard, keyed, materialize, partitions
 
 
 def source_targets(
@@ -70,6 +70,7 @@ def mix(
     order = ["source", "size", "doc_id", "_f", "_r"]
     ranged = sized.repartitionByRange(partitions(spark), *order).withColumn("range", F.spark_partition_id())
     ranged = materialize(ranged, "ranged")
+    discard(spark, sized)
     counts = ranged.groupBy("source", "range").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     counts = materialize(counts, "counts")
     sums = counts.groupBy("source").agg(F.sum("words").alias("source_size"))

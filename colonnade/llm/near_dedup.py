@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import discard, materialize, partitions
 from .graph import components
 
 BANDS, ROWS, BITS = 42, 6, 2
@@ -285,10 +285,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     by_part = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
     largest = by_part.groupBy("key").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
     largest = materialize(largest.select("key", F.col("m.part").alias("main")), "largest")
-    parted = materialize(parted.join(largest, "key"), "parted")
-    some = texts.join(parted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    within = materialize(parted.join(largest, "key"), "parted")
+    some = texts.join(within.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     finer = materialize(fine(some, k), "fine")
-    parted = parted.join(finer, "rep")
+    parted = within.join(finer, "rep")
     apart = parted.where("part <> main").select("key", F.col("rep").alias("x"), F.col("part").alias("x_part"), *(F.col(f"t{w}").alias(f"x{w}") for w in range(N_FINE_WORDS)))
     near = estimate([f"x{w}" for w in range(N_FINE_WORDS)], [f"t{w}" for w in range(N_FINE_WORDS)]) >= least(percent, N_FINE)
     other = (F.col("x_part") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("rep")))
@@ -299,6 +299,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = materialize(confirm(across, texts, k, percent), "links")
     if more.limit(1).count():
         label = components(links.unionByName(more))
+    # what follows reads the signed rows, the classes and the labels only
+    discard(docs.sparkSession, crowded, members, leaders, texts, stars, links, largest, within, finer, across, more)
 
     of_class = classes.select("d1", "d2", "rep").join(label, F.col("rep") == F.col("node"), "left")
     of_class = of_class.select("d1", "d2", F.coalesce("label", "rep").alias("component"))

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, partitions
+from .common import discard, keyed, materialize, partitions
 from .side import get, put
 from .suffix_array import common_prefixes, suffix_array
 
@@ -448,8 +448,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = put(copies.select("_f", "_r"), "copies", "_r")
     seen = put(count_anchors(rows, copies, n), "seen", "_r")
     shards = max(n, (ids.agg(F.sum("size")).first()[0] or 0) // PER_SHARD)
+    discard(spark, ids, groups)
     fragments = send_fragments(rows, copies, seen, n, shards)
     found = put(sort_shards(fragments, n), "found", "_r")
+    discard(spark, seen)
     return cut(rows, copies, found)
 
 

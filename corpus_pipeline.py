@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm import exact_dedup, language, mixing, near_dedup, pieces
-from colonnade.llm.common import documents, materialize
+from colonnade.llm.common import discard, documents, materialize
 
 #: A document is rejected if its language is unknown or less likely than this.
 LEAST_SCORE = 0.5
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if last:
+            discard(spark, last)
+        last = docs
     return docs
