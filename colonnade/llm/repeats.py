@@ -48,8 +48,8 @@ BLOCK = 1024
 MANY = 64
 #: Bytes of text for which there is a shard: bounds what a task sorts at once.
 PER_SHARD = 2 << 20
-#: Windows that are anchored at once.
-_CHUNK = 1 << 23
+#: Bytes of whole texts that are digested at once, and windows of one text.
+_TOGETHER, _CHUNK = 1 << 20, 1 << 23
 
 _U = np.uint64
 _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -87,9 +87,40 @@ class Digests:
         return _mix((self.sums[end] - self.sums[start]) * shift)
 
 
+def _parts(ends: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``_TOGETHER`` bytes, one text at least."""
+    out, a = [], 0
+    while a < len(ends):
+        begin = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, begin + _TOGETHER, side="right")))
+        out.append((a, b))
+        a = b
+    return out
+
+
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(digest, anchor, first, count): the runs of neighbouring windows with one anchor, in order.
     data: texts one after another, ``ends`` where each ends. A run lies in one text."""
+    found = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    for a, b in _parts(ends):
+        begin = int(ends[a - 1]) if a else 0
+        digest, anchor, first, count = _anchors(data[begin : int(ends[b - 1])], ends[a:b] - begin)
+        found.append((digest, anchor + begin, first + begin, count))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def substring_digests(data: np.ndarray, ends: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two independent digests of substrings, each within one text."""
+    out = [np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)]
+    for a, b in _parts(ends):
+        begin, stop = int(ends[a - 1]) if a else 0, int(ends[b - 1])
+        mine = np.flatnonzero((start >= begin) & (start < stop))
+        for k in (0, 1):
+            out[k][mine] = Digests(data[begin:stop], k).of(start[mine] - begin, end[mine] - begin)
+    return out
+
+
+def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return np.zeros(0, np.uint64), none, none, none
@@ -125,8 +156,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[
     """(file, block, rows, texts in UTF-8, other columns) for rows _f, _r, text, ...: what a task reads
     of each block of a file. Another task may read the rest of a block."""
     key, rows, texts, more = None, [], [], []
-    for batch in batches:
-        for f, r, text, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for some in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
+        for f, r, text, *rest in zip(*(c.to_pylist() for c in some.columns), strict=True):
             if (f, r // BLOCK) != key:
                 if rows:
                     yield *key, rows, texts, more
@@ -230,7 +261,7 @@ def send_fragments(rows: DataFrame, copies: str, seen: str, n: int, shards: int)
             if not len(first):
                 continue
             end = first + count + LENGTH - 1
-            keys = [Digests(b.data, k).of(first, end) for k in (0, 1)]
+            keys = substring_digests(b.data, b.ends, first, end)
             # by the anchor, or by the window itself
             by = np.concatenate([b.digest[some], keys[0][len(some) :]])
             to = _shard(_mix(by ^ _U(1)), shards)
