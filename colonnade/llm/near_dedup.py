@@ -4,7 +4,7 @@ A document is the set of its distinct shingles. Equal sets are one class, which
 represents; all that follows is on representatives. Minima of 256 hashes give 42 bands of six;
 representatives that agree in a band are candidates. Of every minimum two bits are kept, packed
 into words; the share of equal positions, by bit counts, corrected for chance agreement (one in
-four), estimates the similarity, and candidates six standard errors below the threshold go. What is
+four), estimates the similarity, and candidates 4.5 standard errors below the threshold go. What is
 left is confirmed on the full sets. A pair at the threshold is missed with a probability of
 (1 - 0.8**6)**42 = 3e-6; a closer pair with less.
 
@@ -12,7 +12,8 @@ Pairs within a bucket are not written out. Each bucket has a leader, the member
 buckets with most others (as an original does that all copies resemble), and members are compared
 with it. What these links connect needs no other link. Members of a bucket that are still apart
 are then compared across the parts: those outside the bucket's largest part with all members of
-other parts, by signatures of twice as many hashes before anything is written. So no link between
+other parts, by signatures of four times as many hashes and once for each pair, before anything is
+written. So no link between
 candidates is lost that would join two components.
 
 Defined cases: null and empty texts and those of white space have the empty set and are linked
@@ -34,10 +35,11 @@ from .graph import components
 
 BANDS, ROWS, BITS = 42, 6, 2
 #: Hashes of a signature, and of the finer one.
-N_HASHES, N_FINE = 256, 512
+N_HASHES, N_FINE = 256, 1024
 N_WORDS, N_FINE_WORDS = N_HASHES * BITS // 64, N_FINE * BITS // 64
-#: Standard errors of an estimate by which a candidate must fall short to go.
-SURE = 6
+#: Standard errors of an estimate by which a candidate must fall short to go: a pair at the threshold
+#: falls so short as rarely as it shares no band.
+SURE = 4.5
 #: Members compared with one replica of a leader.
 PER_REPLICA = 256
 
@@ -253,7 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bits = classes.groupBy("rep").agg(*(F.first(w).alias(w) for w in words))
 
     # buckets of more than one representative, and their members
-    banded = classes.select("rep", F.explode("bands").alias("key"))
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     crowded = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     crowded = materialize(crowded, "crowded")
     members = materialize(banded.join(crowded, "key"), "members")
@@ -280,20 +282,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     label = components(links)
 
     # what candidates are apart still
-    parted = members.select("key", "rep").join(label, F.col("rep") == F.col("node"), "left")
-    parted = parted.select("key", "rep", F.coalesce("label", "rep").alias("part"))
+    parted = members.select("key", "band", "rep").join(label, F.col("rep") == F.col("node"), "left")
+    parted = parted.select("key", "band", "rep", F.coalesce("label", "rep").alias("part"))
     by_part = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
     largest = by_part.groupBy("key").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
     largest = materialize(largest.select("key", F.col("m.part").alias("main")), "largest")
     within = materialize(parted.join(largest, "key"), "parted")
     some = texts.join(within.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     finer = materialize(fine(some, k), "fine")
-    parted = within.join(finer, "rep")
-    apart = parted.where("part <> main").select("key", F.col("rep").alias("x"), F.col("part").alias("x_part"), *(F.col(f"t{w}").alias(f"x{w}") for w in range(N_FINE_WORDS)))
+    # a pair is compared in the first band that it shares
+    bands = classes.groupBy("rep").agg(F.first(F.expr("transform(bands, x -> int(x & 2147483647))")).alias("all_bands"))
+    parted = within.join(finer.join(bands, "rep"), "rep")
+    apart = parted.where("part <> main").select("key", F.col("rep").alias("x"), F.col("part").alias("x_part"), F.col("all_bands").alias("x_bands"), *(F.col(f"t{w}").alias(f"x{w}") for w in range(N_FINE_WORDS)))
     near = estimate([f"x{w}" for w in range(N_FINE_WORDS)], [f"t{w}" for w in range(N_FINE_WORDS)]) >= least(percent, N_FINE)
     other = (F.col("x_part") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("rep")))
-    across = apart.alias("l").join(parted.alias("r"), (F.col("l.key") == F.col("r.key")) & other & near)
-    across = across.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    once = F.expr("array_position(zip_with(x_bands, all_bands, (p, q) -> p = q), true) = band + 1")
+    across = apart.alias("l").join(parted.alias("r"), (F.col("l.key") == F.col("r.key")) & other & near & once)
+    across = across.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
     across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     across = materialize(across, "across")
     more = materialize(confirm(across, texts, k, percent), "links")
