@@ -12,9 +12,9 @@ whose permuted common prefix reaches LENGTH are equal, and all but the first of
 
 1. Copies: of equal texts all but the first repeat as a whole, and leave.
 2. Anchors are counted: their digests, made distinct per block of rows, meet by digest.
-3. Fragments around anchors seen twice are sent to shards. An anchor that very many blocks hold (a
-   passage in a third of all documents) would bring them all to one shard; its windows go one by one
-   by their own digests, so only equal ones, which are merged per block, meet.
+3. Fragments around anchors seen twice are sent to shards. An anchor with very many different
+   fragments (where a passage in a third of all documents begins) would bring them all to one shard; its
+   windows go one by one by their own digests, so only equal ones, which are merged per block, meet.
 4. Shards are sorted, and the repeating windows noted by file and row.
 5. Texts are cut.
 
@@ -44,8 +44,8 @@ from .suffix_array import common_prefixes, suffix_array
 LENGTH, GRAM = 100, 50
 #: Rows of a block, whose anchors and fragments are made distinct together.
 BLOCK = 1024
-#: An anchor in more blocks than this is dealt out window by window.
-MANY = 64
+#: An anchor with more fragments than this, those of each block made distinct, is dealt out window by window.
+MANY = 32768
 #: Bytes of text for which there is a shard: bounds what a task sorts at once.
 PER_SHARD = 2 << 20
 #: Bytes of whole texts that are digested at once, and windows of one text.
@@ -184,6 +184,20 @@ class _Block:
         self.distinct, self.of, times = np.unique(self.digest, return_inverse=True, return_counts=True)
         self.twice = times > 1
 
+    def fragments(self) -> np.ndarray:
+        """How many different fragments each distinct anchor has."""
+        out = np.ones(len(self.distinct), np.int64)
+        some = np.flatnonzero(self.twice[self.of])
+        if len(some):
+            of, first = self.of[some], self.first[some]
+            k0, k1 = substring_digests(self.data, self.ends, first, first + self.count[some] + LENGTH - 1)
+            order = np.lexsort((k1, k0, of))
+            of, k0, k1 = of[order], k0[order], k1[order]
+            fresh = np.append(True, (of[1:] != of[:-1]) | (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1]))
+            n = np.bincount(of[fresh], minlength=len(out))
+            out[n > 0] = n[n > 0]
+        return out
+
 
 def _shard(digest: np.ndarray, n: int) -> np.ndarray:
     return ((digest >> _U(32)) % _U(n)).astype(np.int64)
@@ -191,7 +205,7 @@ def _shard(digest: np.ndarray, n: int) -> np.ndarray:
 
 def count_anchors(rows: DataFrame, copies: str, n: int) -> DataFrame:
     """_f, _r (first row of a part of a block), bits: for the block's distinct anchors in order, two
-    bits each: seen in another block, seen in very many."""
+    values each: seen in another block, and with very many fragments."""
 
     def send(batches):
         for f, _, rows, texts, _ in _blocks(batches):
@@ -200,7 +214,9 @@ def count_anchors(rows: DataFrame, copies: str, n: int) -> DataFrame:
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(n + 1))
             full = np.flatnonzero(np.diff(cuts))
-            blobs = [b.distinct[order[cuts[s] : cuts[s + 1]]].tobytes() for s in full.tolist()]
+            n_of = b.fragments().astype("<u2")
+            some = [order[cuts[s] : cuts[s + 1]] for s in full.tolist()]
+            blobs = [b.distinct[x].tobytes() + n_of[x].tobytes() for x in some]
             k = len(full)
             yield pa.RecordBatch.from_pydict(
                 {"shard": pa.array(full, pa.int32()), "_f": pa.array([f] * k, pa.int64()), "_r": pa.array([rows[0]] * k, pa.int64()), "digests": pa.array(blobs, pa.binary())}
@@ -213,9 +229,12 @@ def count_anchors(rows: DataFrame, copies: str, n: int) -> DataFrame:
             blobs += batch.column(3).to_pylist()
         if not keys:
             return
-        size = np.array([len(x) // 8 for x in blobs])
-        _, of, times = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True, return_counts=True)
-        bits = (times > 1).astype(np.uint8)[of] + (times > MANY).astype(np.uint8)[of]
+        size = np.array([len(x) // 10 for x in blobs])
+        digests = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(blobs, size.tolist(), strict=True)])
+        n_of = np.concatenate([np.frombuffer(x, "<u2", n, 8 * n) for x, n in zip(blobs, size.tolist(), strict=True)])
+        _, of, times = np.unique(digests, return_inverse=True, return_counts=True)
+        many = np.bincount(of, weights=n_of) > MANY
+        bits = ((times > 1) | many).astype(np.uint8)[of] + many.astype(np.uint8)[of]
         out = [x.tobytes() for x in np.split(bits, np.cumsum(size)[:-1])]
         keep = [i for i, x in enumerate(out) if any(x)]
         yield pa.RecordBatch.from_pydict(

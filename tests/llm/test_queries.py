@@ -242,7 +242,7 @@ def test_op9(spark, corpus):
     assert got == collections.Counter(cut(docs))
 
 
-@pytest.mark.parametrize("many", [0, 64])
+@pytest.mark.parametrize("many", [0, 32768])
 def test_op9_passages(spark, write, many, monkeypatch):
     """Passages in many texts, periodic texts, repeats within a text; also with every anchor dealt out
     window by window."""
