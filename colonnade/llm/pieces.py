@@ -12,8 +12,9 @@ unigram model would have it: a path's score is then a log-probability.
 
 Where no piece of the vocabulary spans the place between two characters, every path passes it. A
 text is cut at such places; a segment's N best paths are searched once and remembered up to a
-bound, and the N best of the text are put together from the segments by the same kind of search
-over their differences. Cuts and memory change the time and never the result.
+bound, and the N best of the text are put together from the segments' paths by what these lose
+against the best. The segments of one length are searched together, all by one step at a time. Cuts,
+memory and searching together change the time and never the result.
 
 Text is written with U+2581 for spaces and one such sign before it, as the model was made with
 (its other normalization is the identity). A character that no piece covers is spelled in
@@ -60,15 +61,71 @@ ONE = 1 << 20
 #: Remembered segments of a generation, and the longest one that is remembered.
 REMEMBERED, LONGEST = 120_000, 64
 
+#: Paths of a text that the query and the pipeline write.
+PATHS = 2
+
 #: Longest part that is searched together with others.
 _TOGETHER = 24
 
 _U = np.uint64
 _STEP, _SPREAD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
+#: No entry, and the first one, of the search over many parts.
+_NONE, _ROOT = -(1 << 61), ((1 << 24) - 1) << 5
+
 Path = tuple[float, tuple[int, ...]]  # score, ids
 
 
+def _noted(paths: list[tuple]) -> tuple:
+    """Paths (score, what orders equal scores, ids), best first, as they are remembered."""
+    (score, order, ids), *others = paths
+    if not others:
+        return ids, score, math.inf, 0, ()
+    if len(others) == 1:
+        late = int(others[0][1] > order)
+        return ids, score, score - others[0][0], 1 - late, ((others[0][0], late, others[0][2]),)
+    rank = {o: k for k, o in enumerate(sorted(p[1] for p in paths))}
+    return ids, score, score - others[0][0], rank[order], tuple((s, rank[o], i) for s, o, i in others)
+
+
+def _first(parts: list[tuple]) -> tuple[bytes, float, float]:
+    """The best path of parts together, its score, and how far the second one is below it."""
+    return b"".join([p[0] for p in parts]), sum([p[1] for p in parts]) / ONE, min([p[2] for p in parts]) / ONE
+
+
+def _together(parts: list[tuple], n: int) -> list[tuple]:
+    """The n best paths of parts together: (score, what orders equal scores, ids), best first.
+
+    Parts choose independently. A path that leaves the best one in some part is behind the one that
+    leaves it there only, so n - 1 parts are enough: those where that comes first. Of equal scores the
+    order from the end decides; a part's paths of equal scores have it among themselves."""
+    ids, best = [p[0] for p in parts], sum([p[1] for p in parts])
+    if n == 1 or not parts:
+        return [(best, (), b"".join(ids))]
+    losses = [p[2] for p in parts]
+    bound = min(losses) if n == 2 else heapq.nsmallest(n - 1, losses)[-1]
+    near = []
+    for k, lost in enumerate(losses):
+        if lost <= bound and lost < math.inf:
+            late = parts[k][4][0][1] > parts[k][3]
+            near.append((lost, late, k if late else -k, k))
+    near.sort()
+    chosen = sorted(k for *_, k in near[: n - 1])
+    found = [(0, (), ())]  # lost, ranks from the end, choices
+    for k in chosen:
+        _, score, _, rank, others = parts[k]
+        options = [(0, rank, 0), *((score - s, r, c) for c, (s, r, _) in enumerate(others, 1))]
+        found = sorted((lost + x, (r, *order), (*took, c)) for lost, order, took in found for x, r, c in options)[:n]
+    out = []
+    for lost, order, took in found:
+        own = list(ids)
+        for k, c in zip(chosen, took, strict=True):
+            if c:
+                own[k] = parts[k][4][c - 1][2]
+        out.append((best - lost, order, b"".join(own)))
+    return out
+
+
 class Lattice:
     """A vocabulary, and the searches over the lattices it spans."""
 
@@ -98,7 +155,7 @@ class Lattice:
         kind = re.compile(letter)
         safe &= all(SPACE in p or bool(kind.match(p[0])) == bool(kind.match(p[1])) for p in self.pairs)
         self.coarse = re.compile(rf"{SPACE}*(?:{letter}+|(?:(?!{letter})[^{SPACE}])+)|{SPACE}+") if safe else None
-        self.parts = Remembered(self._part, REMEMBERED, LONGEST)
+        self.known: dict[int, Remembered] = {}
         self.table = self._table()
         spelled = [bytes([self.byte[i]]) if i in self.byte else t.replace(SPACE, " ").encode("utf-8") for i, t in enumerate(self.texts)]
         size = np.array([len(x) for x in spelled])
@@ -151,33 +208,49 @@ class Lattice:
 
     def search(self, text: str, n: int) -> list[Path]:
         """The n best paths over a text's lattice, best first."""
+        return [(score / ONE, ids) for score, _, ids in self._search(text, n)]
+
+    def _search(self, text: str, n: int) -> list[tuple[int, tuple, tuple]]:
+        """The n best paths: (score, starts of the pieces from the end, ids).
+
+        The open entries stand in the order of their pieces from the end, longer ones first; an entry's
+        successors take its place, so no two paths are ever compared. The rest being exact, each
+        entry leads to a path as good as it says and no two to the same one: of the open entries, as
+        many as paths are still missing are enough."""
         edges, forward = self.edges(text)
-        size = len(text)
-        # (-(known + rest), lengths from the end, position, known, path so far from the end)
-        heap, found = [(-forward[size], (), size, 0, None)], []
-        while heap:
-            _, lengths, at, known, path = heapq.heappop(heap)
+        # known + rest, position, known, path so far from the end
+        open_, found = [(forward[-1], len(text), 0, None)], []
+        while open_ and len(found) < n:
+            k = max(range(len(open_)), key=lambda i: open_[i][0])  # of equal ones the first
+            _, at, known, path = open_.pop(k)
             if at == 0:
-                ids = []
+                ids, starts = [], []
                 while path:
-                    got, path = path
+                    got, start, path = path
                     ids += (got,) if type(got) is int else got
-                found.append((known / ONE, tuple(ids)))
-                if len(found) == n:
-                    break
+                    starts.append(start)
+                found.append((known, tuple(reversed(starts)), tuple(ids)))
                 continue
-            for start, score, got in edges[at]:
-                total = known + score
-                heapq.heappush(heap, (-(total + forward[start]), (*lengths, start - at), start, total, (got, path)))
+            open_[k:k] = [(known + score + forward[start], start, known + score, (got, start, path)) for start, score, got in edges[at]]
+            if len(open_) > (room := n - len(found)):
+                kept = sorted(range(len(open_)), key=lambda i: -open_[i][0])[:room]
+                open_ = [open_[i] for i in sorted(kept)]
         return found
 
     # -- whole texts ------------------------------------------------------------------------
 
-    def _part(self, part: str) -> tuple[bytes, float, float]:
-        """Best ids as bytes, their score, and the least loss of another path."""
-        got = [self.best(s) for s in self.cut(part)]
-        ids = [i for g in got for i in g[0]]
-        return array("I", ids).tobytes(), sum([g[1] for g in got]), min([g[2] for g in got])
+    def memory(self, n: int) -> Remembered:
+        """The n best paths of parts, remembered: (ids as bytes, score, loss of the second path, rank,
+        further paths as (score, rank, ids)). Ranks are places in the order of equal scores."""
+        if n not in self.known:
+            self.known[n] = Remembered(lambda part: self._part(part, n), REMEMBERED, LONGEST)
+        return self.known[n]
+
+    def _part(self, part: str, n: int) -> tuple:
+        segments = []
+        for s in self.cut(part):
+            segments.append(_noted([(score, starts, array("I", ids).tobytes()) for score, starts, ids in self._search(s, n)]))
+        return segments[0] if len(segments) == 1 else _noted(_together(segments, n))
 
     def cut(self, text: str) -> list[str]:
         """The segments between places that no piece spans."""
@@ -198,8 +271,7 @@ class Lattice:
         best path is below it (infinite if there is none)."""
         if not text:
             return b"", 0.0, float("inf")
-        ids, scores, losses = zip(*map(self.parts.__getitem__, self._words(text)), strict=True)
-        return b"".join(ids), sum(scores) / ONE, min(losses) / ONE
+        return _first(list(map(self.memory(2).__getitem__, self._words(text))))
 
     # -- many parts at once -----------------------------------------------------------------
 
@@ -218,8 +290,8 @@ class Lattice:
             keys[slot], ids[slot], scores[slot], most = h, i, score, max(most, probes)
         return keys, ids, scores, most
 
-    def learn(self, parts: list[str]) -> None:
-        """Remember the best path of each of these parts: what ``best`` finds, for all parts of one
+    def learn(self, parts: list[str], n: int) -> None:
+        """Remember the n best paths of each of these parts: what ``search`` finds, for all parts of one
         length together. Parts with a character that has no piece, and very long ones, are left out."""
         by_size: dict[int, list[str]] = {}
         for p in parts:
@@ -227,9 +299,9 @@ class Lattice:
                 by_size.setdefault(len(p), []).append(p)
         for some in by_size.values():
             for at in range(0, len(some), 8192):
-                self._learn(some[at : at + 8192])
+                self._learn(some[at : at + 8192], n)
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str], paths: int) -> None:
         n, size, (keys, ids, scores, probes) = len(parts), len(parts[0]), self.table
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64) + _U(1)
         widest = min(self.longest, size)
@@ -259,76 +331,77 @@ class Lattice:
                 np.maximum(forward[start + width], forward[start] + score, out=forward[start + width])
         whole = (edge[1:, 1] > none).all(axis=0)
         used = [w for w in range(widest, 0, -1) if (edge[:, w] > none).any()]
-        every = np.arange(n)
-        at, known = np.full(n, size), np.zeros(n, np.int32)
-        second = np.full(n, 2 * none, np.int32)
-        path, length = np.zeros((size, n), np.int32), np.zeros(n, np.int64)
-        for _ in range(size):
-            top, width = np.full(n, 2 * none, np.int32), np.zeros(n, np.int64)
-            live = at > 0
-            for w in used:  # of equal ones the longest stays
-                start = at - w
-                total = known + edge[at, w, every] + forward[start, every]
-                total[(start < 0) | ~live] = 2 * none
-                better = total > top
-                np.maximum(second, np.where(better, top, total), out=second)
-                top, width = np.where(better, total, top), np.where(better, w, width)
-            path[length[live], every[live]] = name[at, width, every][live]
-            known = known + np.where(live, edge[at, width, every], 0)
-            at, length = at - width * live, length + live
-            if not (at > 0).any():
-                break
-        loss = forward[size] - second
-        best = forward[size].tolist()
-        rows = path.T.tolist()
-        for i in np.flatnonzero(whole).tolist():
-            k = int(length[i])
-            got = array("I", rows[i][k - 1 :: -1] if k else [])
-            self.parts.note(parts[i], (got.tobytes(), best[i], int(loss[i]) if second[i] > none // 2 else math.inf))
-
-    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, float, float]]:
-        known = self.parts
+        # The search, one step of all parts at a time. An open entry is one number: the negative of what
+        # it loses against the best path, then the ends of its pieces from the end of the part (the
+        # complement of a bit for each, so that of equal ones the greatest has the longest pieces),
+        # then its place. A successor's number is its entry's plus a number of the edge alone.
+        step = np.full((len(used), size + 1, n), _NONE, np.int64)
+        for w, out in zip(used, step, strict=True):
+            for end in range(w, size + 1):
+                lost = (edge[end, w] + forward[end - w] - forward[end]).astype(np.int64)
+                np.copyto(out[end], (lost << 30) + (w - (1 << (29 - (size - end) - w))), where=edge[end, w] > none)
+        step = step.reshape(len(used), (size + 1) * n)
+        every = np.flatnonzero(whole)
+        found, count = np.full((paths, n), _NONE, np.int64), np.zeros(n, np.int64)
+        best = [np.full(len(every), _NONE, np.int64) for _ in range(paths)]  # open entries, best first
+        best[0][:] = _ROOT
+        while len(every):
+            top = best[0]
+            place, live = top & 31, (top > _NONE // 2) & (count[every] < paths)
+            done = np.flatnonzero((place == size) & live)
+            cols = every[done]
+            found[count[cols], cols] = top[done]
+            count[cols] += 1
+            stay = live & (count[every] < paths)
+            if 4 * np.count_nonzero(stay) < 3 * len(stay):
+                every, place, live, *best = (x[stay] for x in (every, place, live, *best))
+                top = best[0]
+            best = [*best[1:], np.full(len(every), _NONE, np.int64)]
+            top = np.maximum(top, _NONE)
+            at = np.where(live, size - place, 0) * n + every
+            for out in step:
+                new = top + out.take(at)
+                for k in range(paths - 1):
+                    best[k], new = np.maximum(best[k], new), np.minimum(best[k], new)
+                best[-1] = np.maximum(best[-1], new)
+        # pieces in the order of the text, path by path, the paths of a part one after another
+        part, rank = np.nonzero(found.T > _NONE // 2)
+        key = found[rank, part]
+        ends = ((_ROOT | 31) - (key & ((1 << 30) - 1))) >> 5
+        row, start = np.nonzero(ends[:, None] >> (24 - size + np.arange(size)) & 1)
+        end = np.append(start[1:], size)
+        end[:-1][row[1:] != row[:-1]] = size
+        raw = name[end, end - start, part[row]].astype("<u4").tobytes()
+        upto = (4 * np.cumsum(np.bincount(row, minlength=len(key)))).tolist()
+        score = (forward[size][part] + (key >> 30)).tolist()
+        some, begin, memory = [], 0, self.memory(paths)
+        for k, (i, to, mine, order) in enumerate(zip(part.tolist(), upto, score, ends.tolist(), strict=True)):
+            some.append((mine, order, raw[begin:to]))
+            begin = to
+            if k + 1 == len(part) or part[k + 1] != i:
+                memory.note(parts[i], _noted(some))
+                some = []
+
+    def _known(self, texts: list[str | None], n: int) -> list[list[tuple]]:
+        """The n best paths of the parts of each text."""
+        memory = self.memory(n)
         cut = [self._words(t) if t else () for t in texts]
-        new = {w for words in cut for w in words if w not in known}
+        new = {w for words in cut for w in words if w not in memory}
         if len(new) > 64:
-            self.learn([w for w in new if w not in known.old])
-        out = []
-        for words in cut:
-            if not words:
-                out.append((b"", 0.0, math.inf))
-                continue
-            got = list(map(known.__getitem__, words))
-            out.append((b"".join([g[0] for g in got]), sum([g[1] for g in got]) / ONE, min([g[2] for g in got]) / ONE))
-        return out
+            self.learn([w for w in new if w not in memory.old], n)
+        return [list(map(memory.__getitem__, words)) for words in cut]
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, float, float]]:
+        return [_first(parts) if parts else (b"", 0.0, math.inf) for parts in self._known(texts, 2)]
+
+    def nbest_all(self, texts: list[str | None], n: int) -> list[list[tuple[float, bytes]]]:
+        """The n best paths of each text: (score, ids as little-endian unsigned 32-bit integers)."""
+        return [[(score / ONE, ids) for score, _, ids in _together(parts, n)] for parts in self._known(texts, n)]
 
     def nbest(self, text: str | None, n: int) -> list[Path]:
-        """The n best paths of a whole text. Segments choose independently: a state says which of
-        its paths each segment takes, and the best states come off a heap of differences."""
-        if not text:
-            return [(0.0, ())]
-        paths = [self.search(s, n) for w in self._words(text) for s in self.cut(w)]
-        options = [p for p in paths if len(p) > 1]
-        loss = lambda k, c: options[k][0][0] - options[k][c][0]
-        options.sort(key=lambda p: p[0][0] - p[1][0])
-        order, best = {id(p): k for k, p in enumerate(options)}, sum(p[0][0] for p in paths)
-        heap, found = [(0.0, ())], []
-        if options:
-            heap.append((loss(0, 1), ((0, 1),)))
-        while heap and len(found) < n:
-            lost, state = heapq.heappop(heap)  # state: (segment, choice above 0), ascending segments
-            taken = dict(state)
-            ids = [i for p in paths for i in p[taken.get(order[id(p)], 0) if len(p) > 1 else 0][1]]
-            found.append((best - lost, tuple(ids)))
-            if not state:
-                continue
-            k, c = state[-1]
-            if c + 1 < len(options[k]):
-                heapq.heappush(heap, (lost - loss(k, c) + loss(k, c + 1), (*state[:-1], (k, c + 1))))
-            if k + 1 < len(options):
-                heapq.heappush(heap, (lost + loss(k + 1, 1), (*state, (k + 1, 1))))
-                if c == 1:
-                    heapq.heappush(heap, (lost - loss(k, 1) + loss(k + 1, 1), (*state[:-1], (k + 1, 1))))
-        return found
+        """The n best paths of a whole text."""
+        parts = list(map(self.memory(n).__getitem__, self._words(text))) if text else []
+        return [(score / ONE, tuple(np.frombuffer(ids, "<u4").tolist())) for score, _, ids in _together(parts, n)]
 
     def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The texts in UTF-8 of ids that stand one text after another, ``ends`` where each ends."""
@@ -353,31 +426,42 @@ def lattice(path: str | None = None) -> Lattice:
     return Lattice(path or public_tokenizers.path(VOCABULARY))
 
 
-def encode_pieces(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, columns to keep, ids (array of int), score of the best path, second (score of the
-    second best, null if there is no other)."""
+def encode_pieces(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = (), n: int = PATHS) -> DataFrame:
+    """doc_id, columns to keep, ids (array of int) and score of the best path, second (score of the
+    second best, null if there is no other), others (scores and ids of the second to the n-th best)."""
+    if n < 2:
+        raise ValueError("n: two paths at least")
 
     def run(batches):
         model = lattice(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                got = model.encode_all(some.column(some.num_columns - 1).to_pylist())
-                places = np.concatenate([[0], np.cumsum([len(g[0]) // 4 for g in got])]).astype("i4")
-                ids = pa.array(np.frombuffer(b"".join(g[0] for g in got), "<i4"))
+                got = model.nbest_all(some.column(some.num_columns - 1).to_pylist(), n)
+                others = [p for paths in got for p in paths[1:]]
+                listed = pa.StructArray.from_arrays([pa.array([p[0] for p in others], pa.float64()), _lists([p[1] for p in others])], ["score", "ids"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         *some.columns[:-1],
-                        pa.ListArray.from_arrays(pa.array(places), ids),
-                        pa.array([g[1] for g in got], pa.float64()),
-                        pa.array([None if g[2] == float("inf") else g[1] - g[2] for g in got], pa.float64()),
+                        _lists([paths[0][1] for paths in got]),
+                        pa.array([paths[0][0] for paths in got], pa.float64()),
+                        pa.array([paths[1][0] if len(paths) > 1 else None for paths in got], pa.float64()),
+                        pa.ListArray.from_arrays(_places([len(paths) - 1 for paths in got]), listed),
                     ],
-                    names=["doc_id", *keep, "ids", "score", "second"],
+                    names=["doc_id", *keep, "ids", "score", "second", "others"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) if keep else ""
-    return rows.mapInArrow(run, f"doc_id long, {kept}ids array<int>, score double, second double")
+    return rows.mapInArrow(run, f"doc_id long, {kept}ids array<int>, score double, second double, others array<struct<score: double, ids: array<int>>>")
+
+
+def _places(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4"))
+
+
+def _lists(ids: list[bytes]) -> pa.Array:
+    return pa.ListArray.from_arrays(_places([len(x) // 4 for x in ids]), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -402,8 +486,9 @@ def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), score, second and
-    decoded_sha256 (of the decoded text in UTF-8)."""
+    """doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), score, second,
+    decoded_sha256 (of the decoded text in UTF-8), n_paths and others_crc32 (of the ids of all paths
+    but the best, one after another; null if there is no other)."""
 
     def run(batches):
         model = lattice(path)
@@ -413,6 +498,10 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 ids, ends = _flat(some.column(1))
                 begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                n_others = np.asarray(some.column(4).value_lengths().fill_null(0))
+                other_ids, other_ends = _flat(some.column(4).flatten().field(1))
+                other = memoryview(np.ascontiguousarray(other_ids, "<u4")).cast("B")
+                upto = np.concatenate([[0], other_ends])[np.concatenate([[0], np.cumsum(n_others)])].tolist()
                 cols = {
                     "doc_id": some.column(0),
                     "n_pieces": pa.array(ends - begins, pa.int64()),
@@ -420,11 +509,13 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
                     "score": some.column(2),
                     "second": some.column(3),
                     "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in model.decode_all(ids, ends)], pa.string()),
+                    "n_paths": pa.array(n_others + 1, pa.int64()),
+                    "others_crc32": pa.array([zlib.crc32(other[4 * a : 4 * b]) if a < b else None for a, b in zip(upto, upto[1:], strict=False)], pa.int64()),
                 }
                 yield pa.RecordBatch.from_pydict(cols)
 
-    schema = "doc_id long, n_pieces long, ids_crc32 long, score double, second double, decoded_sha256 string"
-    return encoded.select("doc_id", "ids", "score", "second").mapInArrow(run, schema)
+    schema = "doc_id long, n_pieces long, ids_crc32 long, score double, second double, decoded_sha256 string, n_paths long, others_crc32 long"
+    return encoded.select("doc_id", "ids", "score", "second", "others").mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

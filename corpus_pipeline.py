@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, score and second of every document of the mix."""
+    """doc_id, source, ids, score, second and others (the second best path) of every document of the mix."""
     return pieces.encode_pieces(docs, keep=("source",))
 
 

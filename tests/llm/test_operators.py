@@ -92,6 +92,30 @@ def test_pieces_frames(spark, corpus):
     assert sorted(map(tuple, decoded.collect()), key=repr) == want
 
 
+def test_nbest_frames(spark, corpus):
+    """The n best paths of texts are what the search over the whole lattice finds, ties in its order."""
+    docs = spark.read.parquet(corpus + "/documents.parquet").where("length(text) < 1000 or text is null")
+    m = pieces.lattice()
+    for n in (2, 5):
+        for r in pieces.encode_pieces(docs, n=n, keep=("text",)).collect():
+            want = m.search(pieces.SPACE + r.text.replace(" ", pieces.SPACE), n) if r.text else [(0.0, ())]
+            assert [(r.score, tuple(r.ids)), *((p.score, tuple(p.ids)) for p in r.others)] == want
+            assert r.second == (want[1][0] if len(want) > 1 else None)
+    with pytest.raises(ValueError):
+        pieces.encode_pieces(docs, n=1)
+
+
+def test_many_parts_by_one_search():
+    """All parts of one length together, part by part, and whole lattices give the same paths."""
+    g = random.Random(9)
+    texts = ["".join(g.choice(["a", "an", "na", "the", " ", "  ", "é", "😀", "1", ",", ".", "ing", "▁"]) for _ in range(g.randrange(14))) for _ in range(300)]
+    for n in (1, 2, 4):
+        a, b = (pieces.Lattice(pieces.public_tokenizers.path(pieces.VOCABULARY)) for _ in range(2))
+        for t, got in zip(texts, a.nbest_all(texts, n), strict=True):
+            got = [(score, tuple(np.frombuffer(ids, "<u4").tolist())) for score, ids in got]
+            assert got == b.nbest(t, n) == (b.search(pieces.SPACE + t.replace(" ", pieces.SPACE), n) if t else [(0.0, ())])
+
+
 def test_remembering_is_invisible():
     calls = []
     r = remember.Remembered(lambda k: calls.append(k) or len(k), 10, 5)

@@ -65,6 +65,18 @@ def test_op2(spark, corpus):
     assert plain(run(spark, "op2_pieces", corpus), "doc_id", "n_pieces", "ids_crc32", "score", "second", "decoded_sha256") == sorted(want, key=repr)
 
 
+def test_op2_further_paths(spark, corpus):
+    from colonnade.llm.pieces import PATHS, lattice
+
+    m = lattice()
+    want = []
+    for i, t, *_ in cases():
+        others = [p[1] for p in m.nbest(t, PATHS)[1:]]
+        want.append((i, 1 + len(others), zlib.crc32(np.array(sum(others, ()), "<u4").tobytes()) if others else None))
+    assert PATHS >= 2 and any(w[1] == PATHS for w in want)
+    assert plain(run(spark, "op2_pieces", corpus), "doc_id", "n_paths", "others_crc32") == sorted(want, key=repr)
+
+
 def test_op3(spark, corpus):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
