@@ -4,6 +4,9 @@ Byte-level BPE never merges across pre-tokens, and no pre-token crosses the plac
 space between two characters that are not white space. So a text can be encoded unit by unit
 between such places, and units recur. What was encoded is kept up to a bound and then forgotten
 as a whole; forgetting changes the time and never the ids.
+
+The tokenizer's added tokens (``<|endoftext|>``) are found first, as the library does it: a text is
+cut at them, each is its own id, and what lies between is encoded as a text of its own.
 """
 
 from __future__ import annotations
@@ -45,13 +48,34 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take in white space or stand as words only")
+        self.added = {t.content: i for i, t in added.items()}
+        self.longest_added = max(map(len, self.added), default=0)
+        self.pattern, self.cuts = PRE_TOKEN, None
+        if self.added:
+            one = "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))  # the longest of those that begin at a place
+            self.cuts = regex.compile(f"({one})")
+            # PRE_TOKEN where an added token is a pre-token and, for what comes before it, the text's end
+            no = f"(?!{one})"
+            self.pattern = regex.compile(
+                rf"{one}|'s|'t|'re|'ve|'m|'ll|'d| ?(?:{no}\p{{L}})+| ?(?:{no}\p{{N}})+| ?(?:{no}[^\s\p{{L}}\p{{N}}])+|(?:{no}\s)+(?!{no}\S)|(?:{no}\s)+"
+            )
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.tokens = Remembered(self._token, REMEMBERED, LONGEST)
         self.heads = Remembered(lambda part: self._unit(part, ""), REMEMBERED // 10, LONGEST)
         self.parts = Remembered(lambda part: self._unit(part, " "), REMEMBERED, LONGEST)
 
+    def has_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
+    def pre_tokens(self, text: str) -> list[str]:
+        return (self.pattern if self.has_added(text) else PRE_TOKEN).findall(text)
+
     def _token(self, token: str) -> bytes:
+        if token in self.added:
+            return array("I", [self.added[token]]).tobytes()
         found = self.model.tokenize(token.encode().decode("latin1").translate(self.letters))
         return array("I", [x.id for x in found]).tobytes()
 
@@ -70,6 +94,11 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """What the library returns for a text, as bytes."""
+        if self.has_added(text):
+            return b"".join([self._token(x) if x in self.added else self._ids(x) for x in self.cuts.split(text)])
+        return self._ids(text)
+
+    def _ids(self, text: str) -> bytes:
         if not text:
             return b""
         try:

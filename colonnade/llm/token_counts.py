@@ -6,6 +6,8 @@ pre-tokens it touches are encoded again, with context at its boundaries: from th
 the first one touched, whose end depends on what follows it, up to the first place behind the edit
 where a pre-token of the new text begins at a place where one began before. From there on the
 pattern sees what it saw before, so the rest stands. Sums are updated along the paths to the root.
+The tokenizer's added tokens are pre-tokens; where the text before an edit ends as one of them begins,
+an edit may make or break one, and what it touches begins there.
 
 Defined cases: a null text counts as empty and has no token; edits beyond the end are cut to the
 text; an edit without text deletes; a null doc_id is kept; rows that repeat are counted each; texts
@@ -29,9 +31,10 @@ class CountTree:
     """The text of a document, its token count, and edits."""
 
     def __init__(self, text: str | None, path: str | None = None):
-        self.tokens = encoder(path).tokens
+        self.encoder = encoder(path)
+        self.tokens = self.encoder.tokens
         self.encoded = 0  # pre-tokens encoded so far
-        self._build(PRE_TOKEN.findall(text or ""))
+        self._build(self.encoder.pre_tokens(text or ""))
 
     def _count(self, tokens: list[str]) -> int:
         self.encoded += len(tokens)
@@ -71,6 +74,14 @@ class CountTree:
                 k += 1
         return k - self.size, begin
 
+    def _begun(self, place: int) -> int:
+        """Characters before a place with which an added token may begin, that ends behind it."""
+        before, at, n = "", place, self.encoder.longest_added - 1
+        while at and len(before) < n:
+            leaf, begin = self._find(at - 1)
+            before, at = "".join(self.leaves[leaf])[: at - begin] + before, begin
+        return max((k for x in self.encoder.added for k in range(1, len(x)) if before.endswith(x[:k])), default=0)
+
     def _set(self, leaf: int, tokens: list[str], count: int) -> None:
         self.leaves[leaf] = tokens
         k = leaf + self.size
@@ -88,12 +99,13 @@ class CountTree:
         if start == end and not text:
             return
         if not self.n_chars:
-            self._build(PRE_TOKEN.findall(text))
+            self._build(self.encoder.pre_tokens(text))
             return
         # the leaf and pre-token before the first one touched
-        first, begin = self._find(max(0, start - 1))
+        touched = start - self._begun(start)
+        first, begin = self._find(max(0, touched - 1))
         k, at = 0, begin
-        while k < len(self.leaves[first]) - 1 and at + len(self.leaves[first][k]) < start:
+        while k < len(self.leaves[first]) - 1 and at + len(self.leaves[first][k]) < touched:
             at += len(self.leaves[first][k])
             k += 1
         if k:
@@ -117,9 +129,9 @@ class CountTree:
                 new = source[: start - at] + text + source[end - at :]
                 meets = {e + shift: i for i, e in enumerate(old_ends) if e >= end and e + shift >= start + len(text)}
                 fresh, p, met = [], at, None
-                for m in PRE_TOKEN.finditer(new):
+                for m in (self.encoder.pattern if self.encoder.has_added(new) else PRE_TOKEN).finditer(new):
                     # a match that reaches the end of what is taken in might go on or end otherwise
-                    if not whole and m.end() + 2 > len(new):
+                    if not whole and m.end() + max(2, self.encoder.longest_added) > len(new):
                         break
                     fresh.append(m.group())
                     p = at + m.end()

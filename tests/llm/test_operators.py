@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from colonnade.llm import exact_dedup, fingerprints, graph, language, mixing, near_dedup, pieces, remember, token_files
 from colonnade.llm.bpe import encoder
@@ -135,6 +137,29 @@ def test_units_as_the_library():
         assert np.frombuffer(e.ids(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_as_the_library():
+    """With the library's own defaults, in whole texts and through edits that make and break them."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = lambda x: t.encode(x, add_special_tokens=False).ids
+    ids = lambda x: np.frombuffer(encoder().ids(x), "<u4").tolist()
+    assert ids("a<|endoftext|>b") == [64, 50256, 65]
+    g = random.Random(10)
+    end = "<|endoftext|>"
+    signs = ["a", "b", " ", "  ", "\n", "word", "'s", "1", "!?", "<", "|", "<|", "<|endof", "text|>", "|>", ">", "endoftext", end, end[:-1], end[1:], "é"]
+    text = lambda n: "".join(g.choice(signs) for _ in range(n))
+    for _ in range(400):
+        s = text(g.choice([0, 1, 5, 80, 300]))
+        assert ids(s) == want(s), repr(s)
+        tree = CountTree(s)
+        for _ in range(12):
+            a = g.randint(0, len(s) + 2)
+            b, x = a + g.choice([0, 0, 1, 5, 60]), text(g.choice([0, 1, 1, 5, 200]))
+            tree.edit(a, b, x)
+            s = s[:a] + x + s[b:]
+            assert tree.text == s and tree.n_tokens == len(want(s)), repr(s)
+            assert [p for leaf in tree.leaves for p in leaf] == encoder().pre_tokens(s)
+
+
 @pytest.mark.parametrize("top", [200, 70_000, 2**31])
 def test_token_file_random_access(top):
     g = random.Random(4)

@@ -88,6 +88,19 @@ def test_op3(spark, corpus):
     assert plain(run(spark, "op3_token_files", corpus), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
 
 
+def test_added_tokens_in_texts(spark, write):
+    """op3 and op8 as the library encodes with add_special_tokens=False and nothing else set."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = [(1, "a<|endoftext|>b"), (2, "one  <|endoftext|> two<|endoftext|><|endoftext"), (3, "plain")]
+    start = 0
+    for r in sorted(run(spark, "op3_token_files", write(docs))):
+        ids = [*t.encode(docs[r.doc_id - 1][1], add_special_tokens=False).ids, 0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    for r in run(spark, "op8_token_counts", write(docs)):
+        assert r.n_tokens == len(t.encode(docs[r.doc_id - 1][1], add_special_tokens=False).ids)
+
+
 def shingles(text, k):
     low = (text or "").translate({c: c + 32 for c in range(65, 91)})
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
