@@ -69,5 +69,14 @@ def keyed(docs: DataFrame, *cols: Column | str) -> DataFrame:
         return materialize(docs, "rows").select(*key, *cols)
 
 
+def scanned(docs: DataFrame) -> DataFrame:
+    """``docs`` as a file scan, so that ``keyed`` gives its rows the same keys each time."""
+    try:
+        docs.select("_metadata.file_path")
+        return docs
+    except AnalysisException:
+        return materialize(docs, "rows")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

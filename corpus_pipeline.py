@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm import exact_dedup, language, mixing, near_dedup, pieces
-from colonnade.llm.common import discard, documents, materialize
+from colonnade.llm.common import discard, documents, materialize, scanned
 
 #: A document is rejected if its language is unknown or less likely than this.
 LEAST_SCORE = 0.5
@@ -31,6 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = scanned(docs)
     return exact_dedup.kept_rows(docs, exact_dedup.exact_dedup(docs))
 
 
@@ -43,6 +44,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to their target weights: a document comes as often as the mix takes it."""
+    docs = scanned(docs)
     return mixing.repeated(docs, materialize(mixing.mix(docs), "mixed"))
 
 

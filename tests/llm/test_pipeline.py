@@ -55,3 +55,11 @@ def test_stages(spark, write):
 
 def test_empty(spark, empty):
     assert P.run(spark, empty).collect() == []
+
+
+def test_stages_on_a_frame_that_is_no_file_scan(spark, corpus):
+    scan = spark.read.parquet(corpus + "/documents.parquet")
+    frame = spark.createDataFrame(scan.collect(), scan.schema)
+    for stage in (P.drop_exact, P.mix):
+        got, want = stage(spark, frame, corpus), stage(spark, scan, corpus)
+        assert got.columns == scan.columns and got.count() == want.count() > 0
