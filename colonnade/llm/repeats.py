@@ -23,7 +23,8 @@ steps found about the file they read in the shared folder.
 
 Defined cases: null and empty texts have no byte; texts shorter than LENGTH are left as they are;
 a null doc_id comes after all others; rows with equal doc_id are in the order of files and rows;
-texts of any length are read whole; an empty table gives an empty result; other columns are not read.
+texts of any length are read whole; an empty table gives an empty result; other columns are not read,
+whatever their names (a frame that has a column ``_metadata`` or is no plain file scan is written first).
 """
 
 from __future__ import annotations
@@ -214,7 +215,7 @@ def count_anchors(rows: DataFrame, copies: str, n: int) -> DataFrame:
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(n + 1))
             full = np.flatnonzero(np.diff(cuts))
-            n_of = b.fragments().astype("<u2")
+            n_of = np.minimum(b.fragments(), 2**32 - 1).astype("<u4")
             some = [order[cuts[s] : cuts[s + 1]] for s in full.tolist()]
             blobs = [b.distinct[x].tobytes() + n_of[x].tobytes() for x in some]
             k = len(full)
@@ -229,9 +230,9 @@ def count_anchors(rows: DataFrame, copies: str, n: int) -> DataFrame:
             blobs += batch.column(3).to_pylist()
         if not keys:
             return
-        size = np.array([len(x) // 10 for x in blobs])
+        size = np.array([len(x) // 12 for x in blobs])
         digests = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(blobs, size.tolist(), strict=True)])
-        n_of = np.concatenate([np.frombuffer(x, "<u2", n, 8 * n) for x, n in zip(blobs, size.tolist(), strict=True)])
+        n_of = np.concatenate([np.frombuffer(x, "<u4", n, 8 * n) for x, n in zip(blobs, size.tolist(), strict=True)])
         _, of, times = np.unique(digests, return_inverse=True, return_counts=True)
         many = np.bincount(of, weights=n_of) > MANY
         bits = ((times > 1) | many).astype(np.uint8)[of] + many.astype(np.uint8)[of]
