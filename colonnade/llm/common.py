@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     the warehouse is used, which Spark's own tables share in the same way.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that all executors share")
     return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/colonnade"
 
 
@@ -56,26 +59,43 @@ def discard(spark: SparkSession, *written: DataFrame | str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _located(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` has a file and a place in it (no column of its own may hide them)."""
+    if "_metadata" in (c.lower() for c in docs.columns):
+        return False
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return True
+    except AnalysisException:
+        return False
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """``docs`` as a file scan whose rows have keys. A frame that is no plain file scan, or has a column
+    named ``_metadata``, is written to the shared folder first, once for each frame."""
+    if _located(docs):
+        return docs
+    if "_written" not in vars(docs):
+        new = next(n for n in (f"__hidden{i}" for i in itertools.count()) if n not in docs.columns)
+        renamed = {c: f"{new}_{i}" for i, c in enumerate(docs.columns) if c.lower() == "_metadata"}
+        docs._written = materialize(docs.withColumnsRenamed(renamed), "rows")
+        docs._written._first_names = {n: c for c, n in renamed.items()}
+    return docs._written
+
+
 def keyed(docs: DataFrame, *cols: Column | str) -> DataFrame:
     """``cols`` with a key of the physical row: ``_f`` (file) and ``_r`` (row in the file).
 
     Unlike ``doc_id`` it is never null and never repeats, and it is the same in every scan.
-    A frame that is not a plain file scan is written to the shared folder first.
     """
     key = [F.xxhash64(F.col("_metadata.file_path")).alias("_f"), F.col("_metadata.row_index").alias("_r")]
-    try:
-        return docs.select(*key, *cols)
-    except AnalysisException:
-        return materialize(docs, "rows").select(*key, *cols)
+    return scanned(docs).select(*key, *cols)
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` as a file scan, so that ``keyed`` gives its rows the same keys each time."""
-    try:
-        docs.select("_metadata.file_path")
-        return docs
-    except AnalysisException:
-        return materialize(docs, "rows")
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``_f``, ``_r`` and ``row``, a struct of all columns of ``docs`` by their names."""
+    names = vars(scanned(docs)).get("_first_names", {})
+    return keyed(docs, F.struct(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in scanned(docs).columns)).alias("row"))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -10,7 +10,8 @@ Texts count as equal when identical after each run of white space is replaced by
 
 Defined cases: a null text counts as empty; a null doc_id sorts after all others, and if all of a
 group are null the kept one has null; of rows that repeat with the same doc_id exactly one is
-kept, by place in the files; an empty table gives an empty result; other columns are not read.
+kept, by place in the files; an empty table gives an empty result; other columns are not read, whatever
+their names (a frame that has a column ``_metadata`` or is no plain file scan is written first).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, keyed, materialize, scratch
+from .common import discard, keyed, materialize, scratch, with_keys
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -126,7 +127,7 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
 def kept_rows(docs: DataFrame, result: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps."""
     keep = result.where("kept").select("_f", "_r")
-    return keyed(docs, F.struct("*").alias("row")).join(keep, ["_f", "_r"], "left_semi").select("row.*")
+    return with_keys(docs).join(keep, ["_f", "_r"], "left_semi").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ differ from the target by about the size of one document.
 
 Defined cases: a null text has size 0; null is a source of its own, the last one; a source
 without words has target 0 and nothing of it is taken; rows that repeat (even their doc_id) are
-rows of their own; an empty table gives an empty result; other columns are not read.
+rows of their own; an empty table gives an empty result; other columns are not read, whatever
+their names (a frame that has a column ``_metadata`` or is no plain file scan is written first).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, keyed, materialize, partitions
+from .common import WORD, discard, keyed, materialize, partitions, with_keys
 
 
 def source_targets(
@@ -97,7 +98,7 @@ def mix(
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as ``mixed`` takes it."""
     takes = mixed.where("copies > 0").select("_f", "_r", "copies")
-    rows = keyed(docs, F.struct("*").alias("row")).join(takes, ["_f", "_r"])
+    rows = with_keys(docs).join(takes, ["_f", "_r"])
     return rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
