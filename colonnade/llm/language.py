@@ -22,19 +22,24 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+from .side import store
+
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 LONGEST_GRAM = 4
-#: Documents of each language that the weights are fitted on, at most; and how many languages.
-SAMPLE, LANGUAGES = 1500, 200
-#: Documents of the whole sample, at most: many languages share it evenly.
-SAMPLE_IN_ALL = 6000
+#: Documents of each language that the weights are fitted on, at most.
+SAMPLE = 1500
+#: Documents of the whole sample, which many languages share evenly; each of them has ``LEAST``, if it has as many.
+SAMPLE_IN_ALL, LEAST = 6000, 10
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SALTS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
@@ -65,17 +70,31 @@ def _features(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, x / max(np.sqrt((x * x).sum()), 1e-12)
 
 
+@dataclass(frozen=True)
+class Trained:
+    """Where a model is written, and whether there was anything to learn."""
+
+    frequencies: str
+    weights: str
+    learned: bool
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray  # float32 [BUCKETS]
-    weights: np.ndarray  # float32 [BUCKETS, languages]
+    start: np.ndarray  # where the weights of each feature begin, and the end
+    language: np.ndarray  # of each weight that is not zero
+    weight: np.ndarray
     bias: np.ndarray
     temperature: float
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         at, x = _features(counts, self.idf)
-        return x @ self.weights[at] + self.bias
+        n = self.start[at + 1] - self.start[at]
+        upto = np.cumsum(n)
+        pick = np.repeat(self.start[at] - (upto - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.language[pick], self.weight[pick] * np.repeat(x, n), len(self.languages)) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         kept = letters(text)
@@ -87,6 +106,31 @@ class Model:
         return self.languages[k], float(p[k] / p.sum())
 
 
+def _table(folder: str) -> pa.Table:
+    system, root = store(folder)
+    return ds.dataset(root, filesystem=system, format="parquet").to_table()
+
+
+def _idf(frequencies: str) -> np.ndarray:
+    df, t = np.zeros(BUCKETS + 1, np.int64), _table(frequencies)
+    df[np.asarray(t["bucket"])] = np.asarray(t["n"])  # -1: the number of documents
+    return (np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1).astype(np.float32)
+
+
+@lru_cache(maxsize=1)
+def load(model: Trained) -> Model:
+    """A model as tasks use it; once for each Python worker."""
+    rows = sorted(_table(model.weights).to_pylist(), key=lambda r: r["lang"])
+    at = [np.frombuffer(r["at"], "<u2") for r in rows]
+    size, language = [len(a) for a in at], np.repeat(np.arange(len(rows)), [len(a) for a in at])
+    feature = np.concatenate(at) if sum(size) else np.zeros(0, np.uint16)
+    order = np.lexsort((language, feature))
+    weight = np.frombuffer(b"".join(r["w"] for r in rows), "<f4")[order]
+    start = np.concatenate([[0], np.cumsum(np.bincount(feature, minlength=BUCKETS))])
+    bias = np.array([r["bias"] for r in rows])
+    return Model([r["lang"] for r in rows], _idf(model.frequencies), start, language[order], weight, bias, rows[0]["temperature"] if rows else 1.0)
+
+
 def ftrl(
     rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_labels: int,
     alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5, epochs: int = 3, seed: int = 7,
@@ -134,11 +178,30 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(rows: list[tuple[str, int, bytes, bytes]], idf: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """(languages, weights, bias, temperature) from a sample: (language, rank, features, counts)."""
+    rows = sorted(rows, key=lambda r: r[:2])
+    languages = sorted({r[0] for r in rows})
+    place = {k: i for i, k in enumerate(languages)}
+    learn, check = ([], []), ([], [])
+    for lang, rank, at, n in rows:
+        if not at:
+            continue
+        at = np.frombuffer(at, "<u2")
+        x = (1 + np.log(np.frombuffer(n, "<u4").astype(np.float32))) * idf[at]
+        to = check if rank % 10 == 0 else learn
+        to[0].append((at, (x / np.sqrt((x * x).sum())).astype(np.float32)))
+        to[1].append(place[lang])
+    weights, bias = ftrl(learn[0], np.array(learn[1], int), len(languages))
+    scores = np.array([x @ weights[at] + bias for at, x in check[0]]).reshape(-1, len(languages))
+    return languages, weights, bias, temperature(scores, np.array(check[1], int))
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE) -> Trained:
     """labelled: doc_id, text, lang."""
     rows = labelled.where("lang is not null and doc_id is not null").select("doc_id", "text", "lang")
 
-    def frequencies(batches):
+    def count(batches):
         # one sum for each task: BUCKETS counts, whatever it reads
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
@@ -149,64 +212,57 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
 
-    counts = rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(BUCKETS + 1, np.int64)
-    for r in counts:
-        df[r.bucket] = r.n  # -1: the number of documents
-    idf = (np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1).astype(np.float32)
+    counts = rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    frequencies = materialize(counts, "frequencies").written_to
 
     # Smallest digests first, of ids alone, language by language: a top-k for each is all that is sorted.
     digest = F.xxhash64(F.lit("language"), "doc_id")
-    ids = rows.select("doc_id", "lang", digest.alias("digest"))
-    n_of = {r.lang: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    languages = sorted(n_of)
-    if not languages:
-        return Model([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
-    sample = max(10, min(sample, SAMPLE_IN_ALL // len(languages)))
+    sizes = rows.select("lang", digest.alias("digest")).groupBy("lang").agg(F.count("*").alias("size"), F.min("digest").alias("first"))
+    sizes = materialize(sizes, "languages")
+    each = max(LEAST, min(sample, SAMPLE_IN_ALL // max(1, sizes.count())))
     # a bound on the digest that leaves little more than the sample of each language, then the exact cut
-    bound = {k: min(2**63 - 1, -(2**63) + int(min(1.0, (2 * sample + 100) / n) * 2**64)) for k, n in n_of.items()}
-    near = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv])
-    few = rows.withColumn("digest", digest).where(F.col("digest") <= F.element_at(near, F.col("lang")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "doc_id"))
+    share = F.lit(2.0 * each + 100) / F.col("size")
+    bound = F.when(share >= 1, F.lit(2**63 - 1)).otherwise((F.least(share, F.lit(0.999)) * 2.0**64 - 2.0**63).cast("long"))
+    few = rows.join(sizes.select("lang", F.greatest(bound, "first").alias("bound")), "lang").withColumn("digest", digest)
+    few = few.where("digest <= bound").select("lang", "digest", F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sparse(batches):
         for batch in batches:
             out = []
-            for lang, digest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                c = gram_counts(letters(text))
+            for lang, digest, doc_id, text in zip(*batch.columns, strict=True):
+                c = gram_counts(letters(text.as_py()))
                 at = np.flatnonzero(c)
                 packed = at.astype("<u2").tobytes(), np.minimum(c[at], 2**32 - 1).astype("<u4").tobytes()
-                out.append({"lang": lang, "digest": digest, "doc_id": doc_id, "at": packed[0], "n": packed[1]})
+                out.append({"lang": lang.as_py(), "digest": digest.as_py(), "doc_id": doc_id.as_py(), "at": packed[0], "n": packed[1]})
             schema = pa.schema([("lang", pa.string()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("at", pa.binary()), ("n", pa.binary())])
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     # texts are reduced to at most BUCKETS counts before they are sent anywhere
-    few = few.select("lang", "digest", F.col("doc_id").cast("long").alias("doc_id"), "text")
     few = few.mapInArrow(sparse, "lang string, digest long, doc_id long, at binary, n binary")
-    taken = few.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "digest", "rank", "at", "n").collect()
-    taken.sort(key=lambda r: (r.lang, r.rank))
-    place = {k: i for i, k in enumerate(languages)}
-    fit, out = ([], []), ([], [])
-    for r in taken:
-        if not r.at:
-            continue
-        at = np.frombuffer(r.at, "<u2")
-        x = (1 + np.log(np.frombuffer(r.n, "<u4").astype(np.float32))) * idf[at]
-        to = out if r.rank % 10 == 0 else fit
-        to[0].append((at, (x / np.sqrt((x * x).sum())).astype(np.float32)))
-        to[1].append(place[r.lang])
-    weights, bias = ftrl(fit[0], np.array(fit[1], int), len(languages))
-    scores = np.array([x @ weights[at] + bias for at, x in out[0]]).reshape(-1, len(languages))
-    t = temperature(scores, np.array(out[1], int))
-    return Model(languages, idf, weights.astype(np.float32), bias, t)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "doc_id"))
+    taken = few.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "rank", "at", "n")
+
+    def fit_all(batches):
+        got = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        if not got:
+            return
+        languages, weights, bias, t = fit(got, _idf(frequencies))
+        for k, lang in enumerate(languages):
+            at = np.flatnonzero(weights[:, k])
+            row = {"lang": [lang], "bias": [float(bias[k])], "temperature": [t], "at": [at.astype("<u2").tobytes()], "w": [weights[at, k].astype("<f4").tobytes()]}
+            yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("lang", pa.string()), ("bias", pa.float64()), ("temperature", pa.float64()), ("at", pa.binary()), ("w", pa.binary())]))
+
+    # one task: the sample's bound is the bound of what it reads
+    weights = taken.repartition(1).mapInArrow(fit_all, "lang string, bias double, temperature double, at binary, w binary")
+    weights = materialize(weights, "weights")
+    return Trained(frequencies, weights.written_to, bool(weights.limit(1).count()))
 
 
-def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+def predict(docs: DataFrame, model: Trained, *keep: str) -> DataFrame:
     """The columns in ``keep``, then lang_pred and score, from text alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages weights at most
 
     def run(batches):
-        m = sent.value
+        m = load(model)
         for batch in batches:
             got = [m.predict(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             cols = [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
