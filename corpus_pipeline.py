@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm import exact_dedup, language, mixing, near_dedup, pieces
-from colonnade.llm.common import discard, documents, materialize, scanned
+from colonnade.llm.common import discard, documents, materialize
 
 #: A document is rejected if its language is unknown or less likely than this.
 LEAST_SCORE = 0.5
@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and those of which no language is likely. The model learns from
     the labelled documents that are not held out."""
     model = language.train(docs.where(~language.held_out()))
-    if not model.languages:  # nothing to learn from: nothing but texts without letters can be told
+    if not model.learned:  # nothing to learn from: nothing but texts without letters can be told
         return docs.where(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
     rows = docs.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(docs.columns)})
     rows = rows.withColumn("text", F.col(f"c{docs.columns.index('text')}"))
@@ -31,7 +31,6 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = scanned(docs)
     return exact_dedup.kept_rows(docs, exact_dedup.exact_dedup(docs))
 
 
@@ -44,7 +43,6 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to their target weights: a document comes as often as the mix takes it."""
-    docs = scanned(docs)
     return mixing.repeated(docs, materialize(mixing.mix(docs), "mixed"))
 
 
