@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,3 +104,14 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch of so many rows at most and, but for single rows, so many bytes of text in a column."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0)), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        begin = int(ends[at - 1]) if at else 0
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, begin + size, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to

@@ -1,26 +1,26 @@
 """Near-duplicate documents by b-bit MinHash.
 
-A document is the set of its distinct shingles. Equal sets are one class, which its smallest doc_id
-represents; all that follows is on representatives. Minima of 256 hashes give 42 bands of six;
-representatives that agree in a band are candidates. Of every minimum two bits are kept, packed
+A document is the set of its distinct shingles. Equal sets are one class, told by 128 bits of digest; the
+row with the smallest doc_id represents it, and all that follows is on classes. Minima of 256 hashes give
+42 bands of six; classes that agree in a band are candidates. Of every minimum two bits are kept, packed
 into words; the share of equal positions, by bit counts, corrected for chance agreement (one in
-four), estimates the similarity, and candidates 4.5 standard errors below the threshold go. What is
-left is confirmed on the full sets. A pair at the threshold is missed with a probability of
-(1 - 0.8**6)**42 = 3e-6; a closer pair with less.
+four), estimates the similarity, and candidates five standard errors below the threshold go. What is
+left is confirmed on the full sets. A pair at the threshold shares no band with a probability of
+(1 - 0.8**6)**42 = 3e-6 and is estimated too low with one of 3e-7; a closer pair with less.
 
 Pairs within a bucket are not written out. Each bucket has a leader, the member that shares
 buckets with most others (as an original does that all copies resemble), and members are compared
 with it. What these links connect needs no other link. Members of a bucket that are still apart
 are then compared across the parts: those outside the bucket's largest part with all members of
 other parts, by signatures of four times as many hashes and once for each pair, before anything is
-written. So no link between
-candidates is lost that would join two components.
+written. So no link between candidates is lost that would join two components.
 
 Defined cases: null and empty texts and those of white space have the empty set and are linked
 with nothing; with fewer words than a shingle has, all words are the one shingle; rows with a null
 doc_id are linked with nothing and have a null component_id and kept true; rows that share a
-doc_id share a component; texts of any length are read whole; an empty table gives an empty result;
-other columns are not read.
+doc_id share a component, and each of their texts links it with others; texts of any length are read
+whole; an empty table gives an empty result; other columns are not read, whatever their names (a frame
+that has a column ``_metadata`` or is no plain file scan is written first).
 """
 
 from __future__ import annotations
@@ -30,18 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions
+from .common import discard, keyed, materialize, partitions, slices
 from .graph import components
 
 BANDS, ROWS, BITS = 42, 6, 2
 #: Hashes of a signature, and of the finer one.
 N_HASHES, N_FINE = 256, 1024
 N_WORDS, N_FINE_WORDS = N_HASHES * BITS // 64, N_FINE * BITS // 64
-#: Standard errors of an estimate by which a candidate must fall short to go: a pair at the threshold
-#: falls so short as rarely as it shares no band.
-SURE = 4.5
+#: Standard errors of an estimate by which a candidate must fall short to go.
+SURE = 5.0
 #: Members compared with one replica of a leader.
-PER_REPLICA = 256
+PER_REPLICA = 32
+#: Bytes of words that are digested at once.
+_CHUNK = 1 << 20
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(4))
@@ -84,13 +85,18 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     text, one text after another, and where each text's end. All texts at once."""
     size = np.array([len(t) + 1 for t in texts], np.int64)
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    up, down = _POWERS.to(len(data) + 1)
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True, append=True))
     start, end = edge[::2], edge[1::2]
     # a word's digest from prefix sums, taken back to where the word starts
-    sums = np.concatenate([[_U(0)], np.cumsum(_BYTE[data] * up[:-1], dtype=np.uint64)])
-    word = _mix((sums[end] - sums[start]) * down[start])
+    word, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + _CHUNK, side="right")))
+        some = data[start[at] : end[to - 1]]
+        a, b = start[at:to] - start[at], end[at:to] - start[at]
+        up, down = _POWERS.to(len(some) + 1)
+        sums = np.concatenate([[_U(0)], np.cumsum(_BYTE[some] * up[:-1], dtype=np.uint64)])
+        word[at:to] = _mix((sums[b] - sums[a]) * down[a])
+        at = to
     ends_of_text = np.cumsum(size)
     of = np.searchsorted(ends_of_text, start, side="right")
     words = np.bincount(of, minlength=len(texts))
@@ -159,22 +165,27 @@ def signatures(values: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+_SIGNATURE = [f"s{w}" for w in range(N_WORDS)]
+_FINE = [f"t{w}" for w in range(N_FINE_WORDS)]
+
+
+def _utf8(texts: pa.Array) -> list[bytes]:
+    return [(x.as_py() or "").encode("utf-8") for x in texts]
+
+
 def sign(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, d1, d2, s0.., bands of each row."""
+    """_f, _r, doc_id, n, d1, d2, s0.., bands of each row."""
+    names = ["n", "d1", "d2", *_SIGNATURE]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                some = batch.slice(at, 400)
-                texts = [(x.as_py() or "").encode("utf-8") for x in some.column(1)]
-                s = signatures(*shingle_sets(texts, k))
+            for some in slices(batch, 3, 400):
+                s = signatures(*shingle_sets(_utf8(some.column(3)), k))
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(s["bands"].ravel()), BANDS).cast(pa.list_(pa.int64()))
-                names = ["n", "d1", "d2", *(f"s{w}" for w in range(N_WORDS))]
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(s[x]) for x in names), bands], names=["doc_id", *names, "bands"])
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], *(pa.array(s[x]) for x in names), bands], names=["_f", "_r", "doc_id", *names, "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fields = ", ".join(f"{x} long" for x in ["n", "d1", "d2", *(f"s{w}" for w in range(N_WORDS))])
-    return rows.mapInArrow(run, f"doc_id long, {fields}, bands array<long>")
+    rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, f"_f long, _r long, doc_id long, {', '.join(f'{x} long' for x in names)}, bands array<long>")
 
 
 def fine(texts: DataFrame, k: int) -> DataFrame:
@@ -182,15 +193,14 @@ def fine(texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                some = batch.slice(at, 400)
-                values, ends = shingle_sets([(x.as_py() or "").encode("utf-8") for x in some.column(1)], k)
+            for some in slices(batch, 1, 400):
+                values, ends = shingle_sets(_utf8(some.column(1)), k)
                 n = np.diff(ends, prepend=0)
                 full = np.flatnonzero(n)
                 words = pack(minima(values, (ends - n)[full], full, len(n), N_HASHES, N_HASHES + N_FINE))
-                yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, words)], names=["rep", *(f"t{w}" for w in range(len(words)))])
+                yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, words)], names=["rep", *_FINE])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, " + ", ".join(f"t{w} long" for w in range(N_FINE_WORDS)))
+    return texts.select("rep", "text").mapInArrow(run, "rep long, " + ", ".join(f"{t} long" for t in _FINE))
 
 
 def estimate(a: list[str], b: list[str]):
@@ -209,93 +219,90 @@ def least(percent: int, n: int) -> float:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked. Each b travels to its a; an a with
-    many pairs is replicated, so that no task has more than a share of them."""
+    """Of pairs (a, b) of classes whose full sets are as similar as asked, the doc_ids (a, b). Each b travels
+    to its a; an a with many pairs is replicated, so that no task has more than a share of them."""
     spark = pairs.sparkSession
     counts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / PER_REPLICA).cast("int").alias("replicas"))
     salt = F.pmod(F.xxhash64("b"), F.col("replicas")).cast("int")
-    t = texts.select("doc_id", "text")
-    members = pairs.join(counts, "a").select("a", "b", salt.alias("salt")).join(t, F.col("b") == F.col("doc_id"))
-    members = members.select("a", "salt", F.lit(1).alias("kind"), "b", "text")
-    leaders = counts.join(t, F.col("a") == F.col("doc_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)))
-    leaders = leaders.select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
+    members = pairs.join(counts, "a").select("a", "b", salt.alias("salt")).join(texts, F.col("b") == F.col("rep"))
+    members = members.select("a", "salt", F.lit(1).alias("kind"), "doc", "text")
+    leaders = counts.join(texts, F.col("a") == F.col("rep")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)))
+    leaders = leaders.select("a", "salt", F.lit(0).alias("kind"), "doc", "text")
     rows = members.unionByName(leaders).repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind")
 
     def run(batches):
-        group, own = None, None
+        group, own, own_doc = None, None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                some = batch.slice(at, 400)
-                values, ends = shingle_sets([(x.as_py() or "").encode("utf-8") for x in some.column(4)], k)
+            for some in slices(batch, 4, 400):
+                values, ends = shingle_sets(_utf8(some.column(4)), k)
                 found, begin = [], 0
-                for a, salt, kind, b, end in zip(*(some.column(i).to_pylist() for i in range(4)), ends.tolist(), strict=True):
+                for a, salt, kind, doc, end in zip(*(some.column(i).to_pylist() for i in range(4)), ends.tolist(), strict=True):
                     mine, begin = values[begin:end], end
                     if kind == 0:
-                        group, own = (a, salt), mine
+                        group, own, own_doc = (a, salt), mine, doc
                     elif group == (a, salt):
                         both = len(mine) + len(own)
                         # ascending and distinct: what occurs twice when merged is in both
                         merged = np.sort(np.concatenate([mine, own]), kind="stable")
                         common = int((merged[1:] == merged[:-1]).sum())
                         if 100 * common >= percent * (both - common):
-                            found.append((a, b))
+                            found.append((own_doc, doc))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def one_id(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between a doc_id that rows of several classes have and the doc_ids of these classes."""
+    spread = [F.min("d1") != F.max("d1"), F.min("d2") != F.max("d2")]
+    twice = some.groupBy("doc_id").agg((spread[0] | spread[1]).alias("more")).where("more").select("doc_id")
+    own = some.select("doc_id", "d1", "d2").join(twice, "doc_id").distinct().join(classes.select("d1", "d2", "doc"), ["d1", "d2"])
+    return own.select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row. k: words of a shingle; percent: least
     similarity of a link, intersection over union."""
+    spark = docs.sparkSession
     signed = materialize(sign(docs, k), "signed")
-    words = [f"s{w}" for w in range(N_WORDS)]
     some = signed.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", *words, "bands")).alias("r"))
-    classes = materialize(classes.select("d1", "d2", F.col("r.doc_id").alias("rep"), *(f"r.{w}" for w in words), "r.bands"), "classes")
-    bits = classes.groupBy("rep").agg(*(F.first(w).alias(w) for w in words))
-
-    # buckets of more than one representative, and their members
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    crowded = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    crowded = materialize(crowded, "crowded")
+    # a class has an id (rep), the smallest of its doc_ids (doc) and that document's row
+    classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "_f", "_r", *_SIGNATURE, "bands")).alias("r"))
+    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", F.col("r.doc_id").alias("doc"), *(f"r.{c}" for c in ("_f", "_r", *_SIGNATURE, "bands")))
+    classes = materialize(classes, "classes")
+
+    # buckets of more than one class, and their members
+    banded = classes.select("rep", "doc", F.posexplode("bands").alias("band", "key"))
+    crowded = materialize(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
     members = materialize(banded.join(crowded, "key"), "members")
     degrees = members.groupBy("rep").agg(F.sum("size").alias("degree"))
-    ranked = members.select("key", "rep").join(degrees, "rep")
-    leaders = ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "rep")).alias("l")).select("key", F.col("l.rep").alias("a"))
-    leaders = materialize(leaders, "leaders")
-    needed = members.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = materialize(texts.join(needed, texts.doc_id == needed.rep, "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose bits say they may be similar enough."""
-        pairs = pairs.where("a <> b").distinct()
-        for side in ("a", "b"):
-            own = bits.select(F.col("rep").alias(side), *(F.col(w).alias(f"{side}_{w}") for w in words))
-            pairs = pairs.join(own, side)
-        near = estimate([f"a_{w}" for w in words], [f"b_{w}" for w in words]) >= least(percent, N_HASHES)
-        return pairs.where(near).select("a", "b")
-
-    stars = members.join(leaders, "key").select("a", F.col("rep").alias("b"))
-    stars = materialize(alike(stars), "stars")
-    links = materialize(confirm(stars, texts, k, percent), "links")
+    ranked = members.select("key", "rep", "doc").join(degrees, "rep")
+    leaders = ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "doc", "rep")).alias("l")).select("key", F.col("l.rep").alias("a"))
+    needed = classes.select("rep", "doc", "_f", "_r").join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = materialize(keyed(docs, "text").join(needed, ["_f", "_r"]).select("rep", "doc", "text"), "texts")
+
+    # every member against its bucket's leader: those pairs whose bits say they may be similar enough
+    stars = members.join(leaders, "key").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+    for side in ("a", "b"):
+        stars = stars.join(classes.select(F.col("rep").alias(side), *(F.col(w).alias(f"{side}_{w}") for w in _SIGNATURE)), side)
+    near = estimate([f"a_{w}" for w in _SIGNATURE], [f"b_{w}" for w in _SIGNATURE]) >= least(percent, N_HASHES)
+    stars = materialize(stars.where(near).select("a", "b"), "stars")
+    links = materialize(confirm(stars, texts, k, percent).union(one_id(some, classes)), "links")
     label = components(links)
 
     # what candidates are apart still
-    parted = members.select("key", "band", "rep").join(label, F.col("rep") == F.col("node"), "left")
-    parted = parted.select("key", "band", "rep", F.coalesce("label", "rep").alias("part"))
+    parted = members.select("key", "band", "rep", "doc").join(label, F.col("doc") == F.col("node"), "left")
+    parted = parted.select("key", "band", "rep", F.coalesce("label", "doc").alias("part"))
     by_part = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
     largest = by_part.groupBy("key").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    largest = materialize(largest.select("key", F.col("m.part").alias("main")), "largest")
-    within = materialize(parted.join(largest, "key"), "parted")
-    some = texts.join(within.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    finer = materialize(fine(some, k), "fine")
-    # a pair is compared in the first band that it shares
-    bands = classes.groupBy("rep").agg(F.first(F.expr("transform(bands, x -> int(x & 2147483647))")).alias("all_bands"))
-    parted = within.join(finer.join(bands, "rep"), "rep")
-    apart = parted.where("part <> main").select("key", F.col("rep").alias("x"), F.col("part").alias("x_part"), F.col("all_bands").alias("x_bands"), *(F.col(f"t{w}").alias(f"x{w}") for w in range(N_FINE_WORDS)))
-    near = estimate([f"x{w}" for w in range(N_FINE_WORDS)], [f"t{w}" for w in range(N_FINE_WORDS)]) >= least(percent, N_FINE)
+    within = materialize(parted.join(largest.select("key", F.col("m.part").alias("main")), "key"), "parted")
+    finer = texts.join(within.select("rep").distinct(), "rep", "left_semi")
+    finer = materialize(fine(finer, k).join(classes.select("rep", F.col("bands").alias("all_bands")), "rep"), "fine")
+    parted = within.join(finer, "rep")
+    apart = parted.where("part <> main").select("key", F.col("rep").alias("x"), F.col("part").alias("x_part"), F.col("all_bands").alias("x_bands"), *(F.col(t).alias(f"x{t}") for t in _FINE))
+    near = estimate([f"x{t}" for t in _FINE], _FINE) >= least(percent, N_FINE)
     other = (F.col("x_part") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("rep")))
+    # a pair is compared in the first band that it shares
     once = F.expr("array_position(zip_with(x_bands, all_bands, (p, q) -> p = q), true) = band + 1")
     across = apart.alias("l").join(parted.alias("r"), (F.col("l.key") == F.col("r.key")) & other & near & once)
     across = across.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
@@ -305,10 +312,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if more.limit(1).count():
         label = components(links.unionByName(more))
     # what follows reads the signed rows, the classes and the labels only
-    discard(docs.sparkSession, crowded, members, leaders, texts, stars, links, largest, within, finer, across, more)
+    discard(spark, crowded, members, texts, stars, links, within, finer, across, more)
 
-    of_class = classes.select("d1", "d2", "rep").join(label, F.col("rep") == F.col("node"), "left")
-    of_class = of_class.select("d1", "d2", F.coalesce("label", "rep").alias("component"))
+    of_class = classes.select("d1", "d2", "doc").join(label, F.col("doc") == F.col("node"), "left")
+    of_class = of_class.select("d1", "d2", F.coalesce("label", "doc").alias("component"))
     rows = signed.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
