@@ -11,10 +11,10 @@ nothing. So a piece's score is the logarithm of its share under Zipf's law at th
 unigram model would have it: a path's score is then a log-probability.
 
 Where no piece of the vocabulary spans the place between two characters, every path passes it. A
-text is cut at such places; a segment's N best paths are searched once and remembered up to a
-bound, and the N best of the text are put together from the segments' paths by what these lose
-against the best. The segments of one length are searched together, all by one step at a time. Cuts,
-memory and searching together change the time and never the result.
+text is cut at such places into parts; a part's N best paths are searched once and remembered up to a
+bound, and the N best of the text are put together from the parts' paths by what these lose
+against the best. The parts of one length are searched together, all by one step at a time, and the texts
+of a batch are put together at once. Cuts, memory and searching together change the time and never the result.
 
 Text is written with U+2581 for spaces and one such sign before it, as the model was made with
 (its other normalization is the identity). A character that no piece covers is spelled in
@@ -26,16 +26,17 @@ piece comes first, then the longer one before it, and so on.
 Decoding joins pieces and bytes, and takes the added sign off.
 
 Defined cases: null and empty texts have no piece, one path with score 0; a text that contains
-U+2581 itself decodes with a space there, as the library's does; a null doc_id is kept; texts of
-any length are encoded whole; other columns are not read.
+U+2581 itself decodes with a space there, as the library's does, every other text decodes to itself; a
+null doc_id is kept; rows that repeat are encoded each; texts of any length are encoded whole; an empty
+table gives an empty result; columns that are not asked for are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import re
+import sys
 import zlib
 from array import array
 from functools import lru_cache
@@ -47,7 +48,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from .remember import Remembered
+from .common import slices
+from .memory import Memory, ragged
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -58,11 +60,11 @@ USER_DEFINED = 1e8
 #: One unit of score is so many steps.
 ONE = 1 << 20
 
-#: Remembered segments of a generation, and the longest one that is remembered.
-REMEMBERED, LONGEST = 120_000, 64
+#: Remembered parts, and ids of their paths.
+REMEMBERED, REMEMBERED_IDS = 240_000, 6_000_000
 
 #: Paths of a text that the query and the pipeline write.
-PATHS = 2
+PATHS = 4
 
 #: Longest part that is searched together with others.
 _TOGETHER = 24
@@ -70,58 +72,57 @@ _TOGETHER = 24
 _U = np.uint64
 _STEP, _SPREAD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
+#: More than any path loses against the best one.
+_FAR = 1 << 34
+#: Bits for a part's place in a text, and one more, in the number that compares what parts lose.
+_PLACE = 28
+
 #: No entry, and the first one, of the search over many parts.
 _NONE, _ROOT = -(1 << 61), ((1 << 24) - 1) << 5
 
 Path = tuple[float, tuple[int, ...]]  # score, ids
 
 
-def _noted(paths: list[tuple]) -> tuple:
-    """Paths (score, what orders equal scores, ids), best first, as they are remembered."""
-    (score, order, ids), *others = paths
-    if not others:
-        return ids, score, math.inf, 0, ()
-    if len(others) == 1:
-        late = int(others[0][1] > order)
-        return ids, score, score - others[0][0], 1 - late, ((others[0][0], late, others[0][2]),)
-    rank = {o: k for k, o in enumerate(sorted(p[1] for p in paths))}
-    return ids, score, score - others[0][0], rank[order], tuple((s, rank[o], i) for s, o, i in others)
+#: A part's path: score, place in the order of equal scores, ids. Paths are listed best first.
+Ranked = tuple[int, int, bytes]
 
 
-def _first(parts: list[tuple]) -> tuple[bytes, float, float]:
-    """The best path of parts together, its score, and how far the second one is below it."""
-    return b"".join([p[0] for p in parts]), sum([p[1] for p in parts]) / ONE, min([p[2] for p in parts]) / ONE
+def _ranked(paths: list[tuple]) -> list[Ranked]:
+    """Paths (score, what orders equal scores, ids), with its place in that order instead of the second."""
+    rank = {o: k for k, o in enumerate(sorted(p[1] for p in paths))}
+    return [(score, rank[o], ids) for score, o, ids in paths]
 
 
-def _together(parts: list[tuple], n: int) -> list[tuple]:
-    """The n best paths of parts together: (score, what orders equal scores, ids), best first.
+def _leaving(parts: list[list[Ranked]], n: int) -> list[int]:
+    """The n - 1 parts that the second to n-th best paths can leave the best path in.
 
     Parts choose independently. A path that leaves the best one in some part is behind the one that
     leaves it there only, so n - 1 parts are enough: those where that comes first. Of equal scores the
-    order from the end decides; a part's paths of equal scores have it among themselves."""
-    ids, best = [p[0] for p in parts], sum([p[1] for p in parts])
-    if n == 1 or not parts:
-        return [(best, (), b"".join(ids))]
-    losses = [p[2] for p in parts]
-    bound = min(losses) if n == 2 else heapq.nsmallest(n - 1, losses)[-1]
+    order from the end decides."""
     near = []
-    for k, lost in enumerate(losses):
-        if lost <= bound and lost < math.inf:
-            late = parts[k][4][0][1] > parts[k][3]
-            near.append((lost, late, k if late else -k, k))
-    near.sort()
-    chosen = sorted(k for *_, k in near[: n - 1])
-    found = [(0, (), ())]  # lost, ranks from the end, choices
-    for k in chosen:
-        _, score, _, rank, others = parts[k]
-        options = [(0, rank, 0), *((score - s, r, c) for c, (s, r, _) in enumerate(others, 1))]
-        found = sorted((lost + x, (r, *order), (*took, c)) for lost, order, took in found for x, r, c in options)[:n]
+    for k, paths in enumerate(parts):
+        if len(paths) > 1:
+            late = paths[1][1] > paths[0][1]
+            near.append((paths[0][0] - paths[1][0], late, k if late else -k, k))
+    return sorted(k for *_, k in sorted(near)[: n - 1])
+
+
+def _choices(options: list[list[tuple[int, int]]], n: int) -> list[tuple[int, tuple, tuple]]:
+    """The n best ways to take one path (loss, rank) of each of some parts: (loss in all, ranks from the end, choices)."""
+    found = [(0, (), ())]
+    for of_part in options:
+        found = sorted((lost + x, (r, *order), (*took, c)) for lost, order, took in found for c, (x, r) in enumerate(of_part))[:n]
+    return found
+
+
+def _together(parts: list[list[Ranked]], n: int) -> list[tuple]:
+    """The n best paths of parts together: (score, what orders equal scores, ids), best first."""
+    ids, best, chosen = [p[0][2] for p in parts], sum(p[0][0] for p in parts), _leaving(parts, n)
     out = []
-    for lost, order, took in found:
+    for lost, order, took in _choices([[(parts[k][0][0] - s, r) for s, r, _ in parts[k]] for k in chosen], n):
         own = list(ids)
         for k, c in zip(chosen, took, strict=True):
-            if c:
-                own[k] = parts[k][4][c - 1][2]
+            own[k] = parts[k][c][2]
         out.append((best - lost, order, b"".join(own)))
     return out
 
@@ -155,7 +156,12 @@ class Lattice:
         kind = re.compile(letter)
         safe &= all(SPACE in p or bool(kind.match(p[0])) == bool(kind.match(p[1])) for p in self.pairs)
         self.coarse = re.compile(rf"{SPACE}*(?:{letter}+|(?:(?!{letter})[^{SPACE}])+)|{SPACE}+") if safe else None
-        self.known: dict[int, Remembered] = {}
+        #: The same by code point: 0 for the sign, 1 for letters as above, 2 for the rest.
+        self.kinds = np.full(sys.maxunicode + 1, 2, np.uint8)
+        for run in re.finditer(f"{letter}+", "".join(map(chr, range(sys.maxunicode + 1)))):
+            self.kinds[run.start() : run.end()] = 1
+        self.kinds[ord(SPACE)] = 0
+        self.known: dict[int, Memory] = {}
         self.table = self._table()
         spelled = [bytes([self.byte[i]]) if i in self.byte else t.replace(SPACE, " ").encode("utf-8") for i, t in enumerate(self.texts)]
         size = np.array([len(x) for x in spelled])
@@ -185,27 +191,6 @@ class Lattice:
                 forward[start + 1] = max(forward[start + 1], here + self.byte_score * len(spelled))
         return edges, forward
 
-    def best(self, text: str) -> tuple[list[int], int, float]:
-        """The first path that ``search`` finds, its score, and by how much the next one is worse.
-
-        The rest being exact, the search takes nothing off its heap but that path until it is
-        complete, and what is then on top of the heap has the next path's score. So no heap is
-        needed: what the path passes by is looked through once."""
-        edges, forward = self.edges(text)
-        at, known, second, ids = len(text), 0, -math.inf, []
-        while at:
-            first, top = None, -math.inf
-            for edge in edges[at]:  # ascending starts: of equal ones the first is the longest
-                total = known + edge[1] + forward[edge[0]]
-                if total > top:
-                    first, top, total = edge, total, top
-                if total > second:
-                    second = total
-            at, known = first[0], known + first[1]
-            ids += (first[2],) if type(first[2]) is int else first[2][::-1]
-        ids.reverse()
-        return ids, known, forward[-1] - second
-
     def search(self, text: str, n: int) -> list[Path]:
         """The n best paths over a text's lattice, best first."""
         return [(score / ONE, ids) for score, _, ids in self._search(text, n)]
@@ -239,18 +224,12 @@ class Lattice:
 
     # -- whole texts ------------------------------------------------------------------------
 
-    def memory(self, n: int) -> Remembered:
-        """The n best paths of parts, remembered: (ids as bytes, score, loss of the second path, rank,
-        further paths as (score, rank, ids)). Ranks are places in the order of equal scores."""
-        if n not in self.known:
-            self.known[n] = Remembered(lambda part: self._part(part, n), REMEMBERED, LONGEST)
-        return self.known[n]
-
-    def _part(self, part: str, n: int) -> tuple:
+    def _part(self, part: str, n: int) -> list[Ranked]:
+        """The n best paths of one part, segment by segment."""
         segments = []
         for s in self.cut(part):
-            segments.append(_noted([(score, starts, array("I", ids).tobytes()) for score, starts, ids in self._search(s, n)]))
-        return segments[0] if len(segments) == 1 else _noted(_together(segments, n))
+            segments.append(_ranked([(score, starts, array("I", ids).tobytes()) for score, starts, ids in self._search(s, n)]))
+        return segments[0] if len(segments) == 1 else _ranked(_together(segments, n))
 
     def cut(self, text: str) -> list[str]:
         """The segments between places that no piece spans."""
@@ -266,12 +245,16 @@ class Lattice:
         written = SPACE + text.replace(" ", SPACE)
         return self.coarse.findall(written) if self.coarse else self.cut(written)
 
+    def nbest(self, text: str | None, n: int) -> list[Path]:
+        """The n best paths of a whole text, by itself and without memory."""
+        parts = [self._part(w, n) for w in self._words(text)] if text else []
+        return [(score / ONE, tuple(np.frombuffer(ids, "<u4").tolist())) for score, _, ids in _together(parts, n)]
+
     def encode(self, text: str | None) -> tuple[bytes, float, float]:
         """Best ids as little-endian unsigned 32-bit integers, their score, and how far the second
         best path is below it (infinite if there is none)."""
-        if not text:
-            return b"", 0.0, float("inf")
-        return _first(list(map(self.memory(2).__getitem__, self._words(text))))
+        (score, ids), *more = self.nbest(text, 2)
+        return array("I", ids).tobytes(), score, score - more[0][0] if more else math.inf
 
     # -- many parts at once -----------------------------------------------------------------
 
@@ -290,20 +273,27 @@ class Lattice:
             keys[slot], ids[slot], scores[slot], most = h, i, score, max(most, probes)
         return keys, ids, scores, most
 
-    def learn(self, parts: list[str], n: int) -> None:
-        """Remember the n best paths of each of these parts: what ``search`` finds, for all parts of one
-        length together. Parts with a character that has no piece, and very long ones, are left out."""
-        by_size: dict[int, list[str]] = {}
-        for p in parts:
-            if len(p) <= _TOGETHER:
-                by_size.setdefault(len(p), []).append(p)
-        for some in by_size.values():
+    def learn(self, memory: Memory, slots: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """The n best paths of the parts codes[start : start + size]: what ``search`` finds, for all parts of one
+        length together. Parts with a character that has no piece, and very long ones, are searched by themselves."""
+        alone = [np.flatnonzero(size > _TOGETHER)]
+        for n in np.unique(size[size <= _TOGETHER]).tolist():
+            some = np.flatnonzero(size == n)
             for at in range(0, len(some), 8192):
-                self._learn(some[at : at + 8192], n)
-
-    def _learn(self, parts: list[str], paths: int) -> None:
-        n, size, (keys, ids, scores, probes) = len(parts), len(parts[0]), self.table
-        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64) + _U(1)
+                own = some[at : at + 8192]
+                alone.append(own[~self._learn(memory, slots[own], codes[start[own] + np.arange(n)[:, None]])])
+        for i in np.concatenate(alone).tolist():
+            paths = self._part(codes[start[i] : start[i] + size[i]].tobytes().decode("utf-32-le", "surrogatepass"), memory.n)
+            best = paths[0][0]
+            rows = [(best - s, r, ids) for s, r, ids in paths] + [(_FAR, 0, b"")] * (memory.n - len(paths))
+            loss, rank, ids = zip(*rows, strict=True)
+            one = [np.array([x], np.int64) for x in (loss, rank, [len(x) // 4 for x in ids])]
+            memory.put(slots[i : i + 1], np.array([best]), *one, np.frombuffer(b"".join(ids), "<u4"))
+
+    def _learn(self, memory: Memory, slots: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Learns parts of one length, a column each; which ones: those whose characters all have pieces."""
+        paths, (size, n), (keys, ids, scores, probes) = memory.n, codes.shape, self.table
+        codes = codes.astype(np.uint64) + _U(1)
         widest = min(self.longest, size)
         none = -(1 << 29)  # lower than any path's score here; sums of three stay in range
         edge = np.full((size + 1, widest + 1, n), none, np.int32)  # by end and width
@@ -371,37 +361,89 @@ class Lattice:
         row, start = np.nonzero(ends[:, None] >> (24 - size + np.arange(size)) & 1)
         end = np.append(start[1:], size)
         end[:-1][row[1:] != row[:-1]] = size
-        raw = name[end, end - start, part[row]].astype("<u4").tobytes()
-        upto = (4 * np.cumsum(np.bincount(row, minlength=len(key)))).tolist()
-        score = (forward[size][part] + (key >> 30)).tolist()
-        some, begin, memory = [], 0, self.memory(paths)
-        for k, (i, to, mine, order) in enumerate(zip(part.tolist(), upto, score, ends.tolist(), strict=True)):
-            some.append((mine, order, raw[begin:to]))
-            begin = to
-            if k + 1 == len(part) or part[k + 1] != i:
-                memory.note(parts[i], _noted(some))
-                some = []
-
-    def _known(self, texts: list[str | None], n: int) -> list[list[tuple]]:
-        """The n best paths of the parts of each text."""
-        memory = self.memory(n)
-        cut = [self._words(t) if t else () for t in texts]
-        new = {w for words in cut for w in words if w not in memory}
-        if len(new) > 64:
-            self.learn([w for w in new if w not in memory.old], n)
-        return [list(map(memory.__getitem__, words)) for words in cut]
-
-    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, float, float]]:
-        return [_first(parts) if parts else (b"", 0.0, math.inf) for parts in self._known(texts, 2)]
-
-    def nbest_all(self, texts: list[str | None], n: int) -> list[list[tuple[float, bytes]]]:
-        """The n best paths of each text: (score, ids as little-endian unsigned 32-bit integers)."""
-        return [[(score / ONE, ids) for score, _, ids in _together(parts, n)] for parts in self._known(texts, n)]
-
-    def nbest(self, text: str | None, n: int) -> list[Path]:
-        """The n best paths of a whole text."""
-        parts = list(map(self.memory(n).__getitem__, self._words(text))) if text else []
-        return [(score / ONE, tuple(np.frombuffer(ids, "<u4").tolist())) for score, _, ids in _together(parts, n)]
+        taken = name[end, end - start, part[row]].astype(np.uint32)
+        # by part and path, those that are not there far behind
+        loss, order, n_ids = np.full((n, paths), _FAR, np.int64), np.full((n, paths), 1 << 62, np.int64), np.zeros((n, paths), np.int64)
+        loss[part, rank], order[part, rank], n_ids[part, rank] = -(key >> 30), ends, np.bincount(row, minlength=len(key))
+        good = np.flatnonzero(whole)
+        place = order[good].argsort(axis=1).argsort(axis=1)
+        memory.put(slots[good], forward[size][good].astype(np.int64), loss[good], place, n_ids[good], taken)
+        return whole
+
+    # -- many texts at once -----------------------------------------------------------------
+
+    def _cut_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code points of all texts as they are written, where each part begins, number of parts of each text)."""
+        full = [t for t in texts if t]
+        codes = np.frombuffer("".join([SPACE + t for t in full]).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        edge = np.zeros(len(codes), bool)
+        if self.coarse:
+            kind = self.kinds[codes]
+            # a run of signs goes with what follows it; then wherever the kind changes
+            edge[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+        else:
+            sizes_of_parts = [len(w) for t in full for w in self._words(t)]
+            edge[np.cumsum(sizes_of_parts) - sizes_of_parts] = True
+        edge[begins[sizes > 0]] = True
+        start = np.flatnonzero(edge)
+        return codes, start, np.searchsorted(start, begins + sizes) - np.searchsorted(start, begins)
+
+    def encode_batch(self, texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, np.ndarray]]]]:
+        """(ids, ends, scores, others): the best paths' ids one text after another and where each text's end, their
+        scores, and of each text the second to the n-th best path: (score, ids). Scores in steps of ``ONE``."""
+        memory = self.known.setdefault(n, Memory(n, REMEMBERED, REMEMBERED_IDS))
+        codes, start, n_words = self._cut_all(texts)
+        end = np.append(start[1:], len(codes))[: len(start)]
+        slots, new, which = memory.slots(codes, start, end)
+        if len(new):
+            self.learn(memory, new, codes, start[which], end[which] - start[which])
+        ids, size = memory.ids(slots)
+        upto = np.concatenate([[0], np.cumsum(size)])  # where each part's ids begin
+        first = np.concatenate([[0], np.cumsum(n_words)])  # where each text's parts begin
+        ends, scores = upto[first[1:]], np.zeros(len(texts), np.int64)
+        full = np.flatnonzero(n_words)
+        others: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
+        starts = first[full]
+        if len(full):
+            scores[full] = np.add.reduceat(memory.score[slots], starts)
+        if n == 1 or not len(full):
+            return ids, ends, scores, others
+        # What a part's second path loses, and of equal losses, which part comes first (see ``_leaving``), in one number
+        place = np.arange(len(slots)) - np.repeat(starts, n_words[full])
+        late = memory.rank[slots, 1] > memory.rank[slots, 0]
+        half = 1 << (_PLACE - 1)
+        near = (memory.loss[slots, 1] << _PLACE) + np.where(late, half + place, half - 1 - place)
+        leave = []
+        for _ in range(n - 1):
+            low = np.minimum.reduceat(near, starts)
+            at = low & ((1 << _PLACE) - 1)
+            at = np.where(at >= half, at - half, half - 1 - at)
+            at = np.where(low >> _PLACE < _FAR, at, -1)
+            leave.append(at)
+            some = at >= 0
+            near[starts[some] + at[some]] = _FAR << _PLACE
+        for i, begin, *chosen in zip(full.tolist(), starts.tolist(), *(x.tolist() for x in leave), strict=True):
+            chosen = sorted(begin + k for k in chosen if k >= 0)
+            own = slots[chosen].tolist()
+            options = [[(x, r) for x, r in zip(memory.loss[s].tolist(), memory.rank[s].tolist(), strict=True) if x < _FAR] for s in own]
+            low, high = int(ends[i - 1]) if i else 0, int(ends[i])
+            for lost, _, took in _choices(options, n)[1:]:
+                pieces, done = [], low
+                for k, s, c in zip(chosen, own, took, strict=True):
+                    if c:
+                        at = int(memory.at[s, c])
+                        pieces += [ids[done : upto[k]], memory.pool[at : at + int(memory.size[s, c])]]
+                        done = int(upto[k + 1])
+                others[i].append((int(scores[i]) - lost, np.concatenate([*pieces, ids[done:high]])))
+        return ids, ends, scores, others
+
+    def nbest_all(self, texts: list[str | None], n: int) -> list[list[Path]]:
+        """The n best paths of each text."""
+        ids, ends, scores, others = self.encode_batch(texts, n)
+        best = np.split(ids, ends[:-1]) if texts else []
+        return [[(s / ONE, tuple(p.tolist())) for s, p in [(int(score), own), *more]] for own, score, more in zip(best, scores, others, strict=True)]
 
     def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The texts in UTF-8 of ids that stand one text after another, ``ends`` where each ends."""
@@ -435,18 +477,18 @@ def encode_pieces(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
     def run(batches):
         model = lattice(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                got = model.nbest_all(some.column(some.num_columns - 1).to_pylist(), n)
-                others = [p for paths in got for p in paths[1:]]
-                listed = pa.StructArray.from_arrays([pa.array([p[0] for p in others], pa.float64()), _lists([p[1] for p in others])], ["score", "ids"])
+            for some in slices(batch, batch.num_columns - 1, 2000, 2 << 20):
+                ids, ends, scores, others = model.encode_batch(some.column(some.num_columns - 1).to_pylist(), n)
+                more = [p for paths in others for p in paths]
+                further = np.concatenate([p[1] for p in more]) if more else np.zeros(0, np.uint32)
+                listed = pa.StructArray.from_arrays([pa.array([p[0] / ONE for p in more], pa.float64()), _lists(further, np.cumsum([len(p[1]) for p in more]))], ["score", "ids"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         *some.columns[:-1],
-                        _lists([paths[0][1] for paths in got]),
-                        pa.array([paths[0][0] for paths in got], pa.float64()),
-                        pa.array([paths[1][0] if len(paths) > 1 else None for paths in got], pa.float64()),
-                        pa.ListArray.from_arrays(_places([len(paths) - 1 for paths in got]), listed),
+                        _lists(ids, ends),
+                        pa.array(scores / ONE, pa.float64()),
+                        pa.array([paths[0][0] / ONE if paths else None for paths in others], pa.float64()),
+                        pa.ListArray.from_arrays(_offsets(np.cumsum([len(paths) for paths in others])), listed),
                     ],
                     names=["doc_id", *keep, "ids", "score", "second", "others"],
                 )
@@ -456,12 +498,12 @@ def encode_pieces(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
     return rows.mapInArrow(run, f"doc_id long, {kept}ids array<int>, score double, second double, others array<struct<score: double, ids: array<int>>>")
 
 
-def _places(sizes: list[int]) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("i4"))
+def _offsets(ends: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], ends]).astype("i4"))
 
 
-def _lists(ids: list[bytes]) -> pa.Array:
-    return pa.ListArray.from_arrays(_places([len(x) // 4 for x in ids]), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(_offsets(ends), pa.array(ids.view(np.int32)))
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
