@@ -5,16 +5,20 @@ one; a bitmap beside it says which of them go on, and a rank directory over the
 each block of 512 bits) says where in the next level they go on. So the token at any place is read
 with one chunk, one bit and one rank for each level, without decoding what lies before it.
 
-A file holds the documents of one range of doc_id, in ascending order (null first), each with an
-end id, and per document its first token's place. Parts follow each other in the order of ranges.
+A file holds documents of one range of doc_id, in ascending order (null first), each with an
+end id, and per document its first token's place. A range has as many files as its tokens need
+(``FILE_TOKENS``); files follow each other in the order of ranges.
 
 Layout, little-endian: ``CDAC0001``; int64 lengths of documents, tokens and levels; int64 doc_id
 and int8 "is null" of each document; int64 places, one more than documents; then for each level
 int64 chunks, the chunks (uint8), the bitmap (uint8, lowest bit first), the directory (uint32).
 
+Reading goes through the directories: a document's tokens are found level by level from the ranks of its
+first and last place, whatever lies before them.
+
 Defined cases: a null or empty text has the end id alone; a null doc_id sorts first; rows that
-repeat are documents of their own; an empty table gives no file and an empty result; other columns
-are not read.
+repeat are documents of their own; a document of any length is in one file; an empty table gives no file
+and an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,17 +28,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialize, partitions, scratch
+from .common import materialize, partitions, scratch, slices
+from .side import store
 
 MAGIC = b"CDAC0001"
 BLOCK = 512
 END_ID = 0
+#: Tokens with which a file is full; it ends with the document that reaches it.
+FILE_TOKENS = 32 << 20
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
@@ -95,85 +101,121 @@ class TokenFile:
             i = int(directory[i // BLOCK]) + whole + int(_ONES[bitmap[i >> 3] & ((1 << (i & 7)) - 1)])
         raise ValueError("a token goes on past the last level")
 
+    def _rank(self, level: int, i: int) -> int:
+        """How many of the first i tokens of a level go on in the next one."""
+        _, bitmap, directory = self.levels[level]
+        ones = int(directory[i // BLOCK]) + int(_ONES[bitmap[i // BLOCK * (BLOCK // 8) : i >> 3]].sum())
+        return ones + int(_ONES[bitmap[i >> 3] & ((1 << (i & 7)) - 1)]) if i & 7 else ones
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        """The tokens at places a, ..., b - 1."""
+        spans, found = [], []
+        for level, (chunks, bitmap, _) in enumerate(self.levels):
+            more = np.unpackbits(bitmap[a >> 3 : -(-b // 8)], bitorder="little")[a & 7 : (a & 7) + b - a].view(bool)
+            spans.append((chunks[a:b], more))
+            if not more.any():
+                break
+            a, b = self._rank(level, a), self._rank(level, b)
+        for chunks, more in reversed(spans):
+            value = chunks.astype("<u4")
+            if len(found):
+                value[more] |= found << np.uint32(8)
+            found = value
+        return found
+
     def ids(self) -> np.ndarray:
         """All tokens."""
-        out = None
-        for chunks, bitmap, _ in reversed(self.levels):
-            value = chunks.astype("<u4")
-            if out is not None:
-                more = np.unpackbits(bitmap, count=len(chunks), bitorder="little").view(bool)
-                value[more] |= out << np.uint32(8)
-            out = value
-        return out
+        return self.between(0, self.n_tokens)
+
+    def document(self, k: int) -> np.ndarray:
+        return self.between(int(self.places[k]), int(self.places[k + 1]))
 
-    def document(self, k: int) -> list[int]:
-        return [self[i] for i in range(int(self.places[k]), int(self.places[k + 1]))]
 
+class _Writer:
+    """Documents of one task, file by file."""
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    def __init__(self, folder: str, part: int):
+        (self.store, self.root), self.part, self.n = store(folder), part, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.doc_ids, self.sizes, self.ids = [], [], []
+
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch | None:
+        """Takes documents in; gives the row of a file if one is full."""
+        self.doc_ids += doc_ids
+        self.ids.append(ids)
+        self.sizes.append(np.diff(ends, prepend=0))
+        return self.write() if sum(map(len, self.ids)) >= FILE_TOKENS else None
+
+    def write(self) -> pa.RecordBatch:
+        places = np.concatenate([[0], np.cumsum(np.concatenate(self.sizes))])
+        data = pack(self.doc_ids, places, np.concatenate(self.ids))
+        name, draft = f"part-{self.part:06d}-{self.n:06d}.cdac", f"{self.root}/.{uuid.uuid4().hex}"
+        with self.store.open_output_stream(draft) as out:
+            out.write(data)
+        self.store.move(draft, f"{self.root}/{name}")
+        row = {"part": [self.part], "number": [self.n], "file": [name], "n_docs": [len(self.doc_ids)], "n_tokens": [int(places[-1])]}
+        self.n += 1
+        self.clear()
+        return pa.RecordBatch.from_pydict(row)
 
 
 def write_tokens(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """Encode and write; returns a row for each file: part, file, n_docs, n_tokens, start (tokens in
-    the files before it). A task that runs again replaces its file in one step by an equal one."""
+    """Encode and write; returns a row for each file: part, number, file, n_docs, n_tokens, start (tokens in
+    the files before it). A task that runs again replaces its files, each in one step, by equal ones."""
 
     def write(batches):
-        encode, end, doc_ids, pieces, sizes = encoder(path).ids, np.array([end_id], "<u4").tobytes(), [], [], []
+        encode, out = encoder(path).encode_batch, _Writer(folder, TaskContext.get().partitionId())
         for batch in batches:
-            doc_ids += batch.column(0).to_pylist()
-            for text in batch.column(1):
-                got = encode(text.as_py() or "") + end
-                pieces.append(got)
-                sizes.append(len(got) // 4)
-        if not doc_ids:
-            return
-        places = np.concatenate([[0], np.cumsum(sizes)])
-        data = pack(doc_ids, places, np.frombuffer(b"".join(pieces), "<u4"))
-        part = TaskContext.get().partitionId()
-        store, root = _open(folder)
-        name, draft = f"part-{part:06d}.cdac", f"{root}/.{uuid.uuid4().hex}"
-        with store.open_output_stream(draft) as out:
-            out.write(data)
-        store.move(draft, f"{root}/{name}")
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(doc_ids)], "n_tokens": [int(places[-1])]})
+            for some in slices(batch, 1, 2000):
+                ids, ends = encode(some.column(1).to_pylist())
+                ids = np.insert(ids, ends, end_id)
+                if (row := out.add(some.column(0).to_pylist(), ids, ends + np.arange(1, len(ends) + 1))) is not None:
+                    yield row
+        if out.doc_ids:
+            yield out.write()
 
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    files = rows.mapInArrow(write, "part long, file string, n_docs long, n_tokens long")
+    files = rows.mapInArrow(write, "part long, number long, file string, n_docs long, n_tokens long")
     files = materialize(files, "token-files")
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    ahead = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)))
 
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit) of each document."""
+    """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit) and middle_id (the token at the place
+    in the middle, read by itself) of each document."""
 
     def read(batches):
         for batch in batches:
             for data, base in zip(batch.column(0), batch.column(1), strict=True):
                 f = TokenFile(data.as_buffer())
-                raw, places = f.ids().tobytes(), f.places
-                for i in range(0, len(f.doc_ids), 1000):
-                    at = places[i : i + 1001]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "doc_id": pa.array(f.doc_ids[i : i + 1000], pa.int64()),
-                            "start": pa.array(at[:-1] + base.as_py(), pa.int64()),
-                            "n_tokens": pa.array(np.diff(at), pa.int64()),
-                            "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-                        }
-                    )
+                sizes = np.diff(f.places)
+                upto = np.searchsorted(f.places, np.arange(0, f.n_tokens, 1 << 18), side="left").tolist()
+                for i, j in zip(upto, [*upto[1:], len(f.doc_ids)], strict=True):
+                    at = f.places[i : j + 1]
+                    if i < j:
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "doc_id": pa.array(f.doc_ids[i:j], pa.int64()),
+                                "start": pa.array(at[:-1] + base.as_py(), pa.int64()),
+                                "n_tokens": pa.array(sizes[i:j], pa.int64()),
+                                "ids": pa.array([f.document(k).tobytes() for k in range(i, j)], pa.binary()),
+                                "middle_id": pa.array([f[int(a + n // 2)] for a, n in zip(at, sizes[i:j], strict=False)], pa.int64()),
+                            }
+                        )
 
     spark = files.sparkSession
     stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.cdac").load(folder)
     stored = stored.select("content", F.element_at(F.split("path", "/"), -1).alias("file"))
     stored = stored.join(files.select("file", "start"), "file").select("content", "start")
-    return stored.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return stored.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary, middle_id long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     files = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
-    return read_tokens(files, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(files, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "middle_id")
