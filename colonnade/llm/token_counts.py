@@ -1,17 +1,19 @@
 """Token counts that follow edits.
 
 A document's pre-tokens are grouped, in order, into leaves of a segment tree whose nodes hold the
-sums of characters and of tokens below them. An edit replaces a range of code points. Only the
-pre-tokens it touches are encoded again, with context at its boundaries: from the pre-token before
+sums of characters and of tokens below them; a leaf holds each pre-token's number of tokens. An edit
+replaces a range of code points. Only the pre-tokens it touches are encoded again, with context at its boundaries: from the pre-token before
 the first one touched, whose end depends on what follows it, up to the first place behind the edit
 where a pre-token of the new text begins at a place where one began before. From there on the
-pattern sees what it saw before, so the rest stands. Sums are updated along the paths to the root.
+pattern sees what it saw before, so the rest stands. Sums are updated along the paths to the root;
+a leaf that has grown large is split, by the numbers that it holds.
 The tokenizer's added tokens are pre-tokens; where the text before an edit ends as one of them begins,
 an edit may make or break one, and what it touches begins there.
 
 Defined cases: a null text counts as empty and has no token; edits beyond the end are cut to the
 text; an edit without text deletes; a null doc_id is kept; rows that repeat are counted each; texts
-of any length are counted whole; an empty table gives an empty result; other columns are not read.
+of any length are counted whole; an empty table gives an empty result; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import PRE_TOKEN, encoder
+from .bpe import encoder
 
-#: Pre-tokens of a leaf when the tree is built; a leaf that grows past eight times that makes it be built anew.
+#: Pre-tokens of a leaf when the tree is built; a leaf that grows past eight times that is split.
 LEAF = 16
 
 
@@ -32,25 +34,36 @@ class CountTree:
 
     def __init__(self, text: str | None, path: str | None = None):
         self.encoder = encoder(path)
-        self.tokens = self.encoder.tokens
         self.encoded = 0  # pre-tokens encoded so far
         self._build(self.encoder.pre_tokens(text or ""))
 
-    def _count(self, tokens: list[str]) -> int:
+    def _count(self, tokens: list[str]) -> list[int]:
+        """The number of tokens of each pre-token, from the encoder."""
         self.encoded += len(tokens)
-        return len(b"".join(map(self.tokens.__getitem__, tokens))) // 4
-
-    def _build(self, tokens: list[str], counts: list[int] | None = None) -> None:
-        self.leaves = [tokens[i : i + LEAF] for i in range(0, len(tokens), LEAF)] or [[]]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.leaves += [[] for _ in range(self.size - len(self.leaves))]
-        self.chars, self.sums = [0] * (2 * self.size), [0] * (2 * self.size)
-        for k, leaf in enumerate(self.leaves, self.size):
-            if leaf:
-                self.chars[k], self.sums[k] = sum(map(len, leaf)), self._count(leaf)
-        for k in range(self.size - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
+        return list(map(self.encoder.counts.__getitem__, tokens))
+
+    def _build(self, tokens: list[str]) -> None:
+        counts, at = self._count(tokens), range(0, len(tokens), LEAF)
+        leaves, numbers = [tokens[i : i + LEAF] for i in at], [counts[i : i + LEAF] for i in at]
+        self._lay_out(leaves, numbers, [len("".join(x)) for x in leaves], list(map(sum, numbers)))
+
+    def _lay_out(self, leaves: list[list[str]], counts: list[list[int]], chars: list[int], sums: list[int]) -> None:
+        """The tree over leaves with known sums."""
+        self.size = 1 << (max(1, len(leaves)) - 1).bit_length()
+        none = self.size - len(leaves)
+        self.leaves, self.counts = leaves + [[] for _ in range(none)], counts + [[] for _ in range(none)]
+        self.chars, self.sums = [0] * self.size + chars + [0] * none, [0] * self.size + sums + [0] * none
+        for x in (self.chars, self.sums):
+            for k in range(self.size - 1, 0, -1):
+                x[k] = x[2 * k] + x[2 * k + 1]
+
+    def _split(self, leaf: int) -> None:
+        """A leaf becomes as many as it has pre-tokens for; all others stay as they are. Empty ones go."""
+        tokens, counts, at = self.leaves[leaf], self.counts[leaf], range(0, len(self.leaves[leaf]), LEAF)
+        own = [(tokens[i : i + LEAF], counts[i : i + LEAF]) for i in at]
+        own = [(t, c, len("".join(t)), sum(c)) for t, c in own]
+        whole = list(zip(self.leaves, self.counts, self.chars[self.size :], self.sums[self.size :], strict=True))
+        self._lay_out(*map(list, zip(*(x for x in [*whole[:leaf], *own, *whole[leaf + 1 :]] if x[0]), strict=True)))
 
     @property
     def n_chars(self) -> int:
@@ -82,10 +95,10 @@ class CountTree:
             before, at = "".join(self.leaves[leaf])[: at - begin] + before, begin
         return max((k for x in self.encoder.added for k in range(1, len(x)) if before.endswith(x[:k])), default=0)
 
-    def _set(self, leaf: int, tokens: list[str], count: int) -> None:
-        self.leaves[leaf] = tokens
+    def _set(self, leaf: int, tokens: list[str], counts: list[int]) -> None:
+        self.leaves[leaf], self.counts[leaf] = tokens, counts
         k = leaf + self.size
-        chars, sums = sum(map(len, tokens)) - self.chars[k], count - self.sums[k]
+        chars, sums = sum(map(len, tokens)) - self.chars[k], sum(counts) - self.sums[k]
         while k:
             self.chars[k] += chars
             self.sums[k] += sums
@@ -115,7 +128,7 @@ class CountTree:
             first, begin = self._find(begin - 1)
             k = len(self.leaves[first]) - 1
             at = begin + sum(map(len, self.leaves[first][:k]))
-        head, shift = self.leaves[first][:k], len(text) - (end - start)
+        head, head_counts, shift = self.leaves[first][:k], self.counts[first][:k], len(text) - (end - start)
         # old pre-tokens from there on are taken in as far as the new ones need
         leaf, place, taken, old_ends = first, at, self.leaves[first][k:], []
         source, fresh = "", []
@@ -129,12 +142,12 @@ class CountTree:
                 new = source[: start - at] + text + source[end - at :]
                 meets = {e + shift: i for i, e in enumerate(old_ends) if e >= end and e + shift >= start + len(text)}
                 fresh, p, met = [], at, None
-                for m in (self.encoder.pattern if self.encoder.has_added(new) else PRE_TOKEN).finditer(new):
-                    # a match that reaches the end of what is taken in might go on or end otherwise
-                    if not whole and m.end() + max(2, self.encoder.longest_added) > len(new):
+                for token in self.encoder.pre_tokens(new):
+                    p += len(token)
+                    # one that reaches the end of what is taken in might go on or end otherwise
+                    if not whole and p - at + max(2, self.encoder.longest_added) > len(new):
                         break
-                    fresh.append(m.group())
-                    p = at + m.end()
+                    fresh.append(token)
                     if p in meets:
                         met = meets[p]
                         break
@@ -157,25 +170,18 @@ class CountTree:
                     leaf -= 1
                 taken = self.leaves[leaf][k:] if leaf == first else self.leaves[leaf]
                 rest = taken[len(taken) - left :] if left <= len(taken) else None
-        kept = self._known(head) + self._known(rest)
+        rest_counts = self.counts[leaf][len(self.counts[leaf]) - len(rest) :]
+        fresh_counts = self._count(fresh)
         if leaf == first:
-            joined, count = head + fresh + rest, kept + self._count(fresh)
-            self._set(first, joined, count)
+            self._set(first, head + fresh + rest, head_counts + fresh_counts + rest_counts)
         else:
-            joined = head + fresh
-            self._set(first, joined, self._known(head) + self._count(fresh))
+            self._set(first, head + fresh, head_counts + fresh_counts)
             for i in range(first + 1, leaf):
                 if self.leaves[i]:
-                    self._set(i, [], 0)
-            self._set(leaf, rest, self._known(rest))
-        if len(joined) > 8 * LEAF:
-            encoded = self.encoded
-            self._build([t for x in self.leaves for t in x])
-            self.encoded = encoded
-
-    def _known(self, tokens: list[str]) -> int:
-        """Tokens of pre-tokens that were encoded before and stand."""
-        return len(b"".join(map(self.tokens.__getitem__, tokens))) // 4
+                    self._set(i, [], [])
+            self._set(leaf, rest, rest_counts)
+        if len(self.leaves[first]) > 8 * LEAF:
+            self._split(first)
 
 
 def edits_of(text: str) -> list[tuple[int, int, str]]:
