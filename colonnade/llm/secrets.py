@@ -6,17 +6,22 @@ sum of c*log2(c) up to date as one character enters and one leaves, so the Shann
 every window costs one step. Overlapping windows that reach the class's entropy form one finding,
 unless the candidate is on the allow-list or the finding lies inside a base finding.
 
+The counts of a window are packed, twelve characters in a long of five bits each (a window has fewer than
+32 characters), so a step changes a few numbers whatever the alphabet; the finding that is still open is kept as two
+numbers and goes to the list when it is closed. So a candidate's cost grows with its length alone.
+
 Positions are code points, ends exclusive. Entropy sums are kept as whole numbers (millionths of a
 bit), so no rounding error gathers while a window slides.
 
 Defined cases: a null text counts as empty and has no finding; a null doc_id is kept; rows that
-repeat are scanned each; texts of any length are scanned whole; an empty table gives an empty
-result; other columns are not read.
+repeat are scanned each; texts and candidates of any length are scanned whole; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -59,50 +64,72 @@ ALLOW = (
     r"(?i)abcdefghijklm|nopqrstuvwxyz|0123456789",  # spelled-out alphabets
     r"^[A-Za-z_-]+$",  # words without a digit
     r"^[0-9_=+/-]+$",  # digits only
-    r"^/?([A-Za-z_-]+/)+[A-Za-z0-9_-]*$",  # paths
+    r"^/?(?:[A-Za-z_-]++/)++[A-Za-z0-9_-]*+$",  # paths; nothing to go back to, so no recursion on long ones
 )
 
+#: Matches whose places are summed up together.
+_BLOCK = 256
+
 
 def _quote(s: str) -> str:
     return "r'" + s.replace("'", r"\x27") + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with a name for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _located(matches: str, pattern: str) -> str:
     """SQL: array of (s, start, end) for the matches of a pattern in ``text``. Matches and the
-    pieces between them alternate, so lengths add up to positions."""
-    none = "cast(array() as array<struct<s: string, start: int, end: int>>)"
-    return f"""if(size({matches}) = 0, {none}, aggregate(
-      zip_with({matches}, split(text, {_quote(pattern)}, -1), (m, p) -> struct(m, length(p) as gap)),
-      struct(0 as at, {none} as found),
-      (a, x) -> if(x.m is null, a, struct(
-        a.at + x.gap + length(x.m) as at,
-        array_append(a.found, struct(x.m as s, a.at + x.gap as start, a.at + x.gap + length(x.m) as end)) as found)),
-      a -> a.found))"""
+    pieces between them alternate, so lengths add up to positions: block by block, then within blocks."""
+    none, ints = "cast(array() as array<struct<s: string, start: int, end: int>>)", "cast(array() as array<int>)"
+    block = f"slice(m, b * {_BLOCK} + 1, {_BLOCK})"
+    ahead = f"""aggregate(transform(sequence(0, (size(m) - 1) div {_BLOCK}), b -> aggregate({block}, 0, (a, x) -> a + x.gap + length(x.s))),
+      struct(0 as at, {ints} as found), (a, x) -> struct(a.at + x as at, array_append(a.found, a.at) as found), a -> a.found)"""
+    starts = f"""flatten(transform(sequence(0, (size(m) - 1) div {_BLOCK}), b -> aggregate({block}, struct(h[b] as at, {ints} as found),
+      (a, x) -> struct(a.at + x.gap + length(x.s) as at, array_append(a.found, a.at + x.gap) as found), a -> a.found)))"""
+    placed = f"zip_with(m, {starts}, (x, at) -> struct(x.s as s, at as start, at + length(x.s) as end))"
+    pairs = f"zip_with({matches}, slice(split(text, {_quote(pattern)}, -1), 1, size({matches})), (s, p) -> struct(s, length(p) as gap))"
+    return f"if(size({matches}) = 0, {none}, {_let(pairs, 'm', _let(ahead, 'h', placed))})"
+
+
+def _array(values) -> str:
+    return f"array({', '.join(f'{v}L' for v in values)})"
 
 
 def _windows(c: CharacterClass) -> str:
     """SQL: array of (start, end) in candidate ``x.s`` where windows of high entropy cover it."""
-    table = [0] + [round(n * math.log2(n) * 1e6) for n in range(1, c.window + 1)]
-    f = f"array({', '.join(f'{v}L' for v in table)})"
-    most = math.floor(c.window * (math.log2(c.window) - c.bits) * 1e6)
-    zero = f"array_repeat(0, {len(c.alphabet)})"
+    if c.window > 31:
+        raise ValueError("a count has five bits: windows have 31 characters at most")
+    w, n = c.window, len(c.alphabet)
+    n_words = -(-n // 12)
+    # how much more a character adds that is there k times, in millionths of a bit; and what a window of enough entropy has at most
+    sums = [0] + [round(k * math.log2(k) * 1e6) for k in range(1, w + 1)]
+    more = _array(b - a for a, b in zip(sums, sums[1:], strict=False))
+    most = math.floor(w * (math.log2(w) - c.bits) * 1e6)
+    # by place in the alphabet plus one; at 0, of no character, nothing
+    place = f"array({', '.join(str(c.alphabet.find(chr(k)) + 1) for k in range(128))})"
+    ones = [_array([0] + [1 << 5 * (k % 12) if k // 12 == j else 0 for k in range(n)]) for j in range(n_words)]
+    masks = [_array([0] + [31 << 5 * (k % 12) if k // 12 == j else 0 for k in range(n)]) for j in range(n_words)]
+    shifts = f"array(0, {', '.join(str(5 * (k % 12)) for k in range(n))})"
+    count = lambda k: f"shiftright({' | '.join(f'(b.w{j} & {masks[j]}[{k}])' for j in range(n_words))}, {shifts}[{k}])"
+    words = ", ".join(f"b.w{j} + {ones[j]}[k.e] - {ones[j]}[k.l] as w{j}" for j in range(n_words))
+    change = f"if(k.e = k.l, 0L, {more}[cast({count('k.e')} as int)] - if(k.l = 0, 0L, {more}[cast({count('k.l')} as int) - 1]))"
     none = "cast(array() as array<struct<start: int, end: int>>)"
-    at, w = "instr('{0}', substring(x.s, {1}, 1))", c.window
-    enters, leaves = at.format(c.alphabet, "i"), at.format(c.alphabet, f"i - {w}")
+    kept = ", ".join(f"b.w{j} as w{j}" for j in range(n_words))
+    rest = f"struct({kept}, b.sum as sum, {{}} as open, {{}} as till, {{}} as found)"
+    # a window that touches the open finding makes it longer, another one closes it
+    slide = f"""case when i + 1 < {w} or b.sum > {most}L then {rest.format("b.open", "b.till", "b.found")}
+      when b.open >= 0 and b.till >= i + 1 - {w} then {rest.format("b.open", "i + 1", "b.found")}
+      else {rest.format(f"i + 1 - {w}", "i + 1", "if(b.open >= 0, array_append(b.found, struct(b.open as start, b.till as end)), b.found)")} end"""
+    zero = f"struct({', '.join(f'0L as w{j}' for j in range(n_words))}, 0L as sum, -1 as open, -1 as till, {none} as found)"
     # steps: add the character at i, drop the one at i - window, note the window that ends at i
-    return f"""aggregate(sequence(1, length(x.s)), struct({zero} as n, 0L as sum, {none} as found),
-      (a, i) -> aggregate(array(struct({enters} as e, if(i > {w}, {leaves}, 0) as l)), a, (b, k) ->
-        struct(
-          if(k.e = k.l, b.n, transform(b.n, (v, j) -> v + int(j + 1 = k.e) - int(j + 1 = k.l))) as n,
-          b.sum + if(k.e = k.l, 0L, {f}[b.n[k.e - 1] + 1] - {f}[b.n[k.e - 1]]
-            + if(k.l = 0, 0L, {f}[b.n[k.l - 1] - 1] - {f}[b.n[k.l - 1]])) as sum,
-          b.found as found),
-        b -> struct(b.n as n, b.sum as sum, case
-          when i < {w} or b.sum > {most}L then b.found
-          when size(b.found) > 0 and b.found[size(b.found) - 1].end >= i - {w}
-            then array_append(slice(b.found, 1, size(b.found) - 1), struct(b.found[size(b.found) - 1].start as start, i as end))
-          else array_append(b.found, struct(i - {w} as start, i as end)) end as found)),
-      a -> a.found)"""
+    scan = f"""aggregate(sequence(0, size(q) - 1), {zero},
+      (a, i) -> aggregate(array(struct(q[i] as e, if(i >= {w}, q[i - {w}], 0) as l)), a,
+        (b, k) -> struct({words}, b.sum + {change} as sum, b.open as open, b.till as till, b.found as found), b -> {slide}),
+      a -> if(a.open >= 0, array_append(a.found, struct(a.open as start, a.till as end)), a.found))"""
+    return _let(f"transform(split(x.s, ''), ch -> {place}[ascii(ch)])", "q", scan)
 
 
 def scan_secrets(docs: DataFrame, classes=CLASSES, allow=ALLOW) -> DataFrame:
@@ -120,9 +147,10 @@ def scan_secrets(docs: DataFrame, classes=CLASSES, allow=ALLOW) -> DataFrame:
     added = []
     for rank, c in enumerate(classes, len(BASE)):
         added.append(
-            f"flatten(transform(filter({c.kind}, x -> not ({allowed})), x -> transform({_windows(c)}, y -> "
-            f"struct(x.start + y.start as start, {rank} as rank, '{c.kind}' as kind, x.start + y.end as end, "
-            "substring(x.s, y.start + 1, y.end - y.start) as text))))"
+            f"flatten(transform(filter({c.kind}, x -> not ({allowed})), x -> "
+            + _let("split(x.s, '')", "ch", f"transform({_windows(c)}, y -> struct(x.start + y.start as start, {rank} as rank, '{c.kind}' as kind, "
+            "x.start + y.end as end, array_join(slice(ch, y.start + 1, y.end - y.start), '') as text))")
+            + "))"
         )
     rows = rows.select("doc_id", F.expr(f"concat({', '.join(base)})").alias("base"), *(F.expr(a).alias(f"added{i}") for i, a in enumerate(added)))
     more = ", ".join(f"filter(added{i}, e -> not exists(base, b -> b.start <= e.start and e.end <= b.end))" for i in range(len(added)))
@@ -157,7 +185,8 @@ def _oracle() -> str:
         f"kind = '{k}' AND " + (f"length(regexp_extract(s, '{p.replace(chr(39), chr(39) * 2)}', {g})) >= {n}" if g else f"length(s) >= {n}")
         for k, p, g, n in BASE
     )
-    allowed = " OR ".join(f"regexp_matches(s, '{a}')" for a in ALLOW)
+    plain = [re.sub(r"([+*])\+", r"\1", a) for a in ALLOW]  # the same, for an engine that never goes back
+    allowed = " OR ".join(f"regexp_matches(s, '{a}')" for a in plain)
     limits = " UNION ALL ".join(f"SELECT '{c.kind}' AS kind, {c.window} AS w, {math.floor(c.window * (math.log2(c.window) - c.bits) * 1e6)} AS most" for c in CLASSES)
     return rf"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),

@@ -210,6 +210,22 @@ def test_op5(spark, write):
     assert plain(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans") == sorted(want, key=repr)
 
 
+def test_op5_long_candidates(spark, write):
+    """Candidates of a million characters, and a hundred thousand matches in a text, in seconds."""
+    import random
+    import time
+
+    g = random.Random(12)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    docs = [(1, "".join(g.choices(signs, k=1_000_000))), (2, "a/b" * 300_000), (3, "q7" * 400_000 + "".join(g.choices(signs, k=100))), (4, "token=abc_123\n" * 60_000)]
+    docs.append((5, "".join("".join(g.choices(signs, k=30)) + "a1" * 30 for _ in range(2000))))
+    begun = time.time()
+    got = run(spark, "op5_secrets", write(docs))
+    took = time.time() - begun
+    assert plain(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans") == sorted([(i, *scan(t)) for i, t in docs], key=repr)
+    assert took < 60
+
+
 def test_op5_plan_is_native(spark, corpus):
     plan = Q.QUERIES["op5_secrets"](spark, corpus)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
