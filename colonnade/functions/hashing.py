@@ -28,6 +28,19 @@ def rs_part(value: Column, n: int) -> Column:
     return h
 
 
+#: A plan holds all pivots.
+MOST_PIVOTS = 1024
+
+
 def pivot_part(value: Column, pivots: list[int]) -> Column:
-    """How many of the ascending pivots are not above the value."""
-    return F.size(F.filter(F.array(*map(F.lit, pivots)), lambda p: p <= value)) if pivots else F.lit(0)
+    """How many of the ascending pivots are not above the value, by halving."""
+    if len(pivots) > MOST_PIVOTS:
+        raise ValueError(f"more than {MOST_PIVOTS} pivots: split by positions instead")
+
+    def halve(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value < pivots[mid], halve(low, mid)).otherwise(halve(mid + 1, high))
+
+    return halve(0, len(pivots))

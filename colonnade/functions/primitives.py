@@ -1,9 +1,9 @@
 """Map, scatter, gather, reduce, scan, split, partition, quantiles, lower bounds, string order.
 
-Whatever needs a total order works on ranges of it: bounds from a bounded sample cut the order into
-as many ranges as there are shuffle partitions, rows are counted or summed by range, and each range
-then starts from the sum of those before it. So no step brings all rows to one task; a window without
-partitions runs over one row for each range only.
+Whatever needs a total order deals rows out into as many ranges of it as there are shuffle partitions, and
+writes them once, each range as one sorted file. A row's place in its range is then its place in its file; rows
+are counted or summed by range, and each range starts from the sum of those before it. So no step brings
+all rows to one task; a window without partitions runs over one row for each range only.
 """
 
 from __future__ import annotations
@@ -13,48 +13,29 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the sample for each range that is cut.
-PER_RANGE = 32
+from ..sources.scratch import materialize
 
+#: What rows are ordered by: names of columns, or expressions (descending ones too).
+Order = list[str | Column]
 
-def _bounds(df: DataFrame, order: list[str], n: int) -> list:
-    """At most n - 1 rows that cut the order into ranges: quantiles of the rows with the smallest digests."""
-    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(PER_RANGE * n)
-    rows = sample.distinct().orderBy(*order).collect()
-    return [rows[k * len(rows) // n] for k in range(1, n)] if len(rows) >= n else rows[1:]
 
-
-def _range_of(order: list[str], bounds: list, df: DataFrame) -> Column:
-    """The place of a row's range, by halving: a tree of comparisons."""
-    kinds = [df.schema[c].dataType for c in order]
-    here = F.struct(*order)
-    cuts = [F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(row, kinds, order, strict=True))) for row in bounds]
-
-    def halve(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(here < cuts[mid], halve(low, mid)).otherwise(halve(mid + 1, high))
-
-    return halve(0, len(cuts))
-
-
-def positions(df: DataFrame, order: list[str], also: dict[str, str] | None = None) -> DataFrame:
+def positions(df: DataFrame, order: Order, also: dict[str, str] | None = None) -> DataFrame:
     """``df`` with ``pos``, a row's place (from 0) in the order; and for each of ``also`` (name:
     column) the sum of the column up to and with the row. Rows equal in ``order`` get places in no
-    given order."""
+    given order. The rows are written to the shared folder and their scan is what is returned."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("__range", _range_of(order, _bounds(df, order, n), df))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges").withColumn("__row", F.col("_metadata.row_index"))
     sums = {"__n": F.count("*"), **{f"__{k}": F.sum(v) for k, v in (also or {}).items()}}
     by_range = ranged.groupBy("__range").agg(*(v.alias(k) for k, v in sums.items()))
     ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_range.select("__range", *(F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(k) for k in sums))
-    within = Window.partitionBy("__range").orderBy(*order)
-    upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(starts, "__range").withColumn("pos", F.row_number().over(within) - 1 + F.col("__n"))
+    # one row for each shuffle partition at most
+    out = ranged.join(F.broadcast(starts), "__range").withColumn("pos", F.col("__row") + F.col("__n"))
+    upto = Window.partitionBy("__range").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
     for k, v in (also or {}).items():
         out = out.withColumn(k, F.sum(v).over(upto) + F.col(f"__{k}"))
-    return out.drop("__range", *sums)
+    return out.drop("__range", "__row", *sums)
 
 
 def map_(df: DataFrame, f: Callable[..., Column], *columns: str, alias: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -93,17 +74,17 @@ def split_starts(df: DataFrame, part: Column) -> DataFrame:
     return positions(counts, ["part"], also={"end": "n"}).select("part", (F.col("end") - F.col("n")).alias("start_pos"), "n")
 
 
-def quantile_positions(df: DataFrame, column: str, rid: str, n: int) -> DataFrame:
+def quantile_positions(df: DataFrame, column: str, n: int) -> DataFrame:
     """(quantile, pos, value): places k * rows / n of the ascending order, each moved to the first row
-    with the same value."""
-    placed = positions(df.select(column, rid), [column, rid])
-    rows = df.count()
-    wanted = sorted({k * rows // n for k in range(n)}) if rows else []
-    picks = df.sparkSession.createDataFrame([(k, k * rows // n) for k in range(n)] if rows else [], "quantile int, at long")
-    at = placed.where(F.col("pos").isin(wanted)).join(picks, F.col("pos") == F.col("at")).select("quantile", F.col(column).alias("value"))
-    first = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    first = positions(first, ["value"], also={"end": "n"}).select("value", (F.col("end") - F.col("n")).alias("pos"))
-    return at.join(first, "value").select("quantile", "pos", "value")
+    with the same value. Values are counted and put in order; each finds the quantiles among its rows."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    placed = positions(counts, ["value"], also={"end": "n"}).withColumn("begin", F.col("end") - F.col("n"))
+    rows = placed.agg(F.max("end").alias("rows"))
+    # floor(k * rows / n) is at least begin and below end
+    least = lambda at: F.expr(f"({at} * {n} + rows - 1) div rows")
+    found = placed.crossJoin(F.broadcast(rows)).withColumns({"low": least("begin"), "high": least("end") - 1})
+    found = found.where(f"low <= high and low < {n}").withColumn("quantile", F.explode(F.sequence("low", F.least("high", F.lit(n - 1)))))
+    return found.select(F.col("quantile").cast("int").alias("quantile"), F.col("begin").alias("pos"), "value")
 
 
 def interval_bounds(df: DataFrame, column: str, rid: str, size: int) -> DataFrame:

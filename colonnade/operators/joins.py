@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.indexes import Index, sorted_scans
+
 #: Fixed mapping of join algorithms to the planner's hints. An index join has no hint: the planner
 #: broadcasts a side only if its size is below spark.sql.autoBroadcastJoinThreshold.
 HINTS = {"nested": "shuffle_replicate_nl", "merge": "merge", "hash": "shuffle_hash", "index": None}
 
 
+#: The nested loop compares all pairs: it is taken for sides whose sizes in bytes have at most this product.
+NESTED_BYTES = 1 << 40
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def join(left: DataFrame, right: DataFrame, on: Column, algorithm: str | None = None) -> DataFrame:
     hint = HINTS[algorithm] if algorithm else None
+    if algorithm == "nested" and estimated_bytes(left) * estimated_bytes(right) > NESTED_BYTES:
+        hint = None
     return left.join(right.hint(hint) if hint else right, on)
 
 
 def index_join(left: DataFrame, right: DataFrame, on: Column, most_bytes: int = 64 << 20) -> DataFrame:
     """``right`` is the indexed side. It goes to every executor only if the optimizer's size estimate
     is within ``most_bytes``; else both sides are sorted and merged."""
-    size = int(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return left.join(F.broadcast(right) if size <= most_bytes else right.hint("merge"), on)
+    return left.join(F.broadcast(right) if estimated_bytes(right) <= most_bytes else right.hint("merge"), on)
 
 
-def presorted_merge_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, partitions: int) -> DataFrame:
-    """Sides that are dealt out and sorted by their keys once; the merge join needs nothing more."""
-    l = left.repartition(partitions, left_key).sortWithinPartitions(left_key)  # noqa: E741
-    r = right.repartition(partitions, right_key).sortWithinPartitions(right_key)
-    return l.join(r.hint("merge"), F.col(left_key) == F.col(right_key))
+def presorted_merge_join(spark: SparkSession, left: Index, right: Index) -> DataFrame:
+    """Two indexes with as many buckets are merged as they are: nothing is shuffled or sorted."""
+    if left.buckets != right.buckets:
+        raise ValueError("the indexes have different numbers of buckets")
+    with sorted_scans(spark):
+        joined = left.table(spark).join(right.table(spark).hint("merge"), F.col(left.column) == F.col(right.column))
+        joined._jdf.queryExecution().executedPlan()  # the plan is made while scans count as sorted
+    return joined
 
 
 def join_pairs(left: DataFrame, right: DataFrame, left_rid: str, right_rid: str, on: Column, algorithm: str | None = None) -> DataFrame:
@@ -48,12 +63,34 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int) ->
     return l.join(r, "__cell").where(F.abs(F.col(a) - F.col(b)) <= width).drop("__cell")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, l_low: str, l_high: str, r_low: str, r_high: str, cell: int = 64) -> DataFrame:
-    """Closed intervals that share a point. Each interval is in the cells it touches; a pair is kept in
-    the cell of the later beginning only, so nothing has to be made distinct. Empty intervals match nothing."""
-    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
-    l = left.where(F.col(l_low) <= F.col(l_high)).withColumn("__cell", cells(l_low, l_high))  # noqa: E741
-    r = right.where(F.col(r_low) <= F.col(r_high)).withColumn("__cell", cells(r_low, r_high))
+def _levels(df: DataFrame, low: str, high: str) -> list[int]:
+    """The levels of a side's intervals: 64 numbers at most."""
+    return sorted(r.l for r in df.select(_level(low, high).alias("l")).distinct().collect())
+
+
+def _level(low: str, high: str) -> Column:
+    """The least k such that cells of 2**k are longer than the interval's length."""
+    d = F.col(high).cast("long") - F.col(low).cast("long")
+    return F.when(d == 0, 0).otherwise(F.length(F.bin(d)))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, l_low: str, l_high: str, r_low: str, r_high: str) -> DataFrame:
+    """Closed intervals that share a point. Cells of a level have 2**level points, an interval's own level has
+    cells longer than itself, so it touches two of them at most, however long it is. Two intervals meet in
+    the cells of the higher of their levels: each goes to its own level and to those above that the other
+    side has. A pair is kept in the cell of the later beginning only, so nothing has to be made distinct.
+    Empty intervals match nothing."""
+    l = left.where(F.col(l_low) <= F.col(l_high))  # noqa: E741
+    r = right.where(F.col(r_low) <= F.col(r_high))
+
+    def placed(df: DataFrame, low: str, high: str, others: list[int], own: str) -> DataFrame:
+        df = df.withColumn(own, _level(low, high))
+        above = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col(own))
+        df = df.withColumn("__level", F.explode(F.concat(F.array(F.col(own)), above)))
+        cell = lambda c: F.expr(f"shiftright(cast(`{c}` as bigint), __level)")
+        return df.withColumn("__cell", F.explode(F.sequence(cell(low), cell(high))))
+
+    pairs = placed(l, l_low, l_high, _levels(r, r_low, r_high), "__own_l").join(placed(r, r_low, r_high, _levels(l, l_low, l_high), "__own_r"), ["__level", "__cell"])
     meets = (F.col(l_low) <= F.col(r_high)) & (F.col(r_low) <= F.col(l_high))
-    once = F.floor(F.greatest(l_low, r_low) / cell) == F.col("__cell")
-    return l.join(r, "__cell").where(meets & once).drop("__cell")
+    once = (F.greatest("__own_l", "__own_r") == F.col("__level")) & (F.expr(f"shiftright(cast(greatest(`{l_low}`, `{r_low}`) as bigint), __level)") == F.col("__cell"))
+    return pairs.where(meets & once).drop("__level", "__cell", "__own_l", "__own_r")

@@ -86,19 +86,19 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
-def order_by(df: DataFrame, *columns: str) -> DataFrame:
-    return df.orderBy(*columns)
+def order_by(df: DataFrame, *keys: str | Column) -> DataFrame:
+    return df.orderBy(*keys)
 
 
-def sort_within(df: DataFrame, segment: str, *columns: str) -> DataFrame:
+def sort_within(df: DataFrame, segment: str, *columns: str | Column) -> DataFrame:
     """Each segment sorted on its own."""
     return df.repartition(segment).sortWithinPartitions(segment, *columns)
 
 
-def order_positions(df: DataFrame, column: str, rid: str) -> DataFrame:
-    """Every row with its place in ascending order; ties by rid."""
-    return positions(df, [column, rid])
+def order_positions(df: DataFrame, key: str | Column, rid: str) -> DataFrame:
+    """Every row with its place in the order of a key (a column or an expression, ascending or not); ties by rid."""
+    return positions(df, [key, rid])
 
 
-def segment_ranks(df: DataFrame, segment: str, *columns: str) -> DataFrame:
+def segment_ranks(df: DataFrame, segment: str, *columns: str | Column) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(segment).orderBy(*columns)) - 1)

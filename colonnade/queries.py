@@ -6,18 +6,26 @@ lineitem (a1: l_orderkey, a2: l_partkey, a3: l_suppkey), T2 is orders (a1: o_ord
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import fields as FL
 from .functions import hashing as H
 from .functions import primitives as P
 from .operators import access as A
 from .operators import joins as J
 from .operators import relational as O
 from .plans import templates as T
+from .plans.batch import run_batch
 from .plans.compiler import run_plan
+from .sources import columns
+from .sources import generators as G
+from .sources.catalog import Catalog
+from .sources.indexes import build_index
+from .sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,7 +127,7 @@ register(
     "rank() OVER (ORDER BY o_custkey) - 1 AS pos, count(*) OVER () AS n FROM orders), "
     "k AS (SELECT unnest(range(16)) AS quantile) "
     "SELECT quantile::INT AS quantile, pos, value FROM k JOIN p ON p.at = quantile * n // 16",
-)(lambda t: P.quantile_positions(t("orders"), "o_custkey", "o_orderkey", 16))
+)(lambda t: P.quantile_positions(t("orders"), "o_custkey", 16))
 register(
     "interval_bounds",
     "WITH p AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS pos FROM orders) "
@@ -150,9 +158,16 @@ for _alg in ("nested", "merge", "hash"):
         lambda t, a=_alg: J.join(t("orders"), t("customer"), _on(), a).select("o_orderkey", "c_custkey", "c_nationkey")
     )
 register("join_index", _EQUI)(lambda t: J.index_join(t("orders"), t("customer"), _on()).select("o_orderkey", "c_custkey", "c_nationkey"))
-register("join_presorted_merge", _EQUI)(
-    lambda t: J.presorted_merge_join(t("orders"), t("customer"), "o_custkey", "c_custkey", 8).select("o_orderkey", "c_custkey", "c_nationkey")
-)
+
+
+@register("join_presorted_merge", _EQUI)
+def _(t):
+    orders, customer = t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_nationkey")
+    buckets = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = build_index(orders, "o_custkey", buckets), build_index(customer, "c_custkey", buckets)
+    return J.presorted_merge_join(orders.sparkSession, *sides).select("o_orderkey", "c_custkey", "c_nationkey")
+
+
 register("join_pairs", "SELECT o_orderkey AS r_rid, c_custkey AS s_rid FROM orders JOIN customer ON o_custkey = c_custkey")(
     lambda t: J.join_pairs(t("orders"), t("customer"), "o_orderkey", "c_custkey", _on())
 )
@@ -202,6 +217,19 @@ register(
     .agg(F.count("*").alias("n"), F.sum("l_suppkey").alias("s"))
 )
 
+register(
+    "join_interval_overlap_long",
+    "WITH r AS (SELECT o_orderkey, o_custkey AS lo, CASE WHEN o_orderkey % 1000 = 0 THEN 1000000000 ELSE o_custkey + o_orderkey % 7 END AS hi FROM orders), "
+    "s AS (SELECT s_suppkey, s_suppkey * 11 AS lo, s_suppkey * 11 + s_nationkey * s_nationkey AS hi FROM supplier) "
+    "SELECT s_suppkey, count(*) AS n FROM r JOIN s ON r.lo <= s.hi AND s.lo <= r.hi GROUP BY s_suppkey",
+)(
+    lambda t: J.overlap_join(
+        t("orders").select(F.col("o_custkey").alias("rlo"), F.expr("case when o_orderkey % 1000 = 0 then 1000000000 else o_custkey + o_orderkey % 7 end").alias("rhi")),
+        t("supplier").select("s_suppkey", F.expr("s_suppkey * 11").alias("slo"), F.expr("s_suppkey * 11 + s_nationkey * s_nationkey").alias("shi")),
+        "rlo", "rhi", "slo", "shi",
+    ).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+)
+
 # -- primitives ---------------------------------------------------------------------------------
 
 register("map_extract", "SELECT o_orderkey, o_custkey AS value FROM orders")(lambda t: P.map_(t("orders"), lambda c: c, "o_custkey", keep=("o_orderkey",)))
@@ -210,9 +238,14 @@ register("map_fill", "SELECT o_orderkey, 7 AS value FROM orders")(lambda t: P.ma
 _LOC = "(o_orderkey * 7 + 3) % (SELECT count(*) FROM orders)"
 
 
+def _rows(df: DataFrame) -> Column:
+    """The number of rows, counted when the query runs."""
+    return df.agg(F.count("*")).scalar()
+
+
 def _located(t):
     o = t("orders").select("o_orderkey", "o_custkey")
-    return o.withColumn("loc", F.pmod(F.col("o_orderkey") * 7 + 3, F.lit(o.count())))
+    return o.withColumn("loc", F.pmod(F.col("o_orderkey") * 7 + 3, _rows(o)))
 
 
 register("scatter_perm", f"SELECT {_LOC} AS pos, o_custkey FROM orders")(lambda t: P.scatter(_located(t), "loc", "o_custkey", "o_orderkey"))
@@ -257,14 +290,14 @@ register(
     "hash_bounds",
     f"WITH g AS (SELECT (o_custkey >> 1) & {_SIZE} AS bucket, count(*) AS n FROM orders GROUP BY 1) "
     "SELECT bucket, (sum(n) OVER (ORDER BY bucket) - n)::BIGINT AS start_pos, (sum(n) OVER (ORDER BY bucket))::BIGINT AS end_pos FROM g",
-)(lambda t: A.hash_bounds(t("orders"), "o_custkey", t("orders").count()))
+)(lambda t: A.hash_bounds(t("orders"), "o_custkey", _rows(t("orders"))))
 register("hash_search", "SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON o_custkey = s_suppkey")(
-    lambda t: A.hash_search(t("orders"), t("supplier"), "o_custkey", "s_suppkey", t("orders").count()).select("o_orderkey", "s_suppkey")
+    lambda t: A.hash_search(t("orders"), t("supplier"), "o_custkey", "s_suppkey", _rows(t("orders"))).select("o_orderkey", "s_suppkey")
 )
 register(
     "bucket_fetch",
     f"SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON (o_custkey >> 1) & {_SIZE} = (s_suppkey >> 1) & {_SIZE}",
-)(lambda t: A.bucket_fetch(t("orders"), t("supplier"), "o_custkey", "s_suppkey", t("orders").count()).select("o_orderkey", "s_suppkey"))
+)(lambda t: A.bucket_fetch(t("orders"), t("supplier"), "o_custkey", "s_suppkey", _rows(t("orders"))).select("o_orderkey", "s_suppkey"))
 register("key_search_one", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7")(
     lambda t: A.key_search(t("orders"), "o_custkey", 7).select("o_orderkey", "o_custkey")
 )
@@ -275,6 +308,86 @@ register("tree_search", "SELECT o_orderkey AS r_rid, s_suppkey AS s_rid FROM ord
     lambda t: A.tree_search(t("orders"), t("supplier"), "o_custkey", "s_suppkey").select(F.col("o_orderkey").alias("r_rid"), F.col("s_suppkey").alias("s_rid"))
 )
 
+register(
+    "order_descending",
+    "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey % 100 DESC, o_orderkey) - 1 AS pos FROM orders",
+)(lambda t: O.order_positions(t("orders").select("o_orderkey", "o_custkey"), (F.col("o_custkey") % 100).desc(), "o_orderkey"))
+
+
+@register("index_search", "SELECT o_orderkey, o_custkey FROM orders JOIN supplier ON o_custkey = s_suppkey")
+def _(t):
+    orders = t("orders").select("o_orderkey", "o_custkey")
+    spark = orders.sparkSession
+    index = build_index(orders, "o_custkey", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return A.index_search(spark, index, t("supplier"), "s_suppkey")
+
+
+# -- records of four integers -------------------------------------------------------------------
+
+
+def _records(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", FL.record("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("r"))
+
+
+register("fields_take", "SELECT l_orderkey, l_linenumber, l_partkey AS y, l_linenumber AS w FROM lineitem")(
+    lambda t: _records(t).select("l_orderkey", "l_linenumber", FL.take_fields(F.col("r"), "y", "w").alias("q")).select("l_orderkey", "l_linenumber", "q.y", "q.w")
+)
+register("fields_put", "SELECT l_orderkey AS x, l_partkey AS y, l_partkey + 1 AS z, 7 AS w FROM lineitem")(
+    lambda t: _records(t).select(FL.put_fields(F.col("r"), {"z": F.col("r.y") + 1, "w": F.lit(7)}).alias("q")).select("q.*")
+)
+
+# -- sources ------------------------------------------------------------------------------------
+
+
+@register("source_text_column", "SELECT o_orderkey AS rid, o_custkey::INT AS value FROM orders")
+def _(t):
+    orders = t("orders").select(F.col("o_orderkey").alias("rid"), F.col("o_custkey").cast("int").alias("value"))
+    columns.write_column(orders, path := scratch(orders.sparkSession, "column"))
+    return columns.read_column(orders.sparkSession, path)
+
+
+@register("source_text_rows", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rid, o_orderkey::INT AS a1, o_custkey::INT AS a2 FROM orders")
+def _(t):
+    rows = t("orders").select(F.col("o_orderkey").alias("a1"), F.col("o_custkey").alias("a2")).orderBy("a1")
+    columns.write_rows(rows, path := scratch(rows.sparkSession, "rows"), ["a1", "a2"])
+    return columns.read_rows(rows.sparkSession, path, ["a1", "a2"])
+
+
+@register("source_catalog", "SELECT o_orderkey AS rid, o_custkey::INT AS a00, (o_orderkey % 64)::INT AS b00 FROM orders")
+def _(t):
+    """A catalog is dumped to files and loaded again."""
+    r = t("orders").select(F.col("o_orderkey").alias("rid"), F.col("o_custkey").cast("int").alias("a00"), F.pmod("o_orderkey", F.lit(64)).cast("int").alias("b00"))
+    spark, name = r.sparkSession, f"R{uuid.uuid4().hex}"
+    first, again, folder = Catalog(spark), Catalog(spark), scratch(r.sparkSession, "catalog")
+    first.add(name, r)
+    first.sort(name, "a00")
+    first.dump(f"{folder}/conf", f"{folder}/data")
+    first.drop(name)
+    again.load(f"{folder}/conf")
+    table = again.table(name)
+    again.drop(name)
+    return table.select("rid", "a00", "b00")
+
+
+register("source_sorted_table", "SELECT range AS rid, (range + 3)::INT AS value FROM range(20000)")(lambda t: G.sorted_table(t("region").sparkSession, 20_000, 3))
+register("source_distinct_table", "SELECT range::INT AS value FROM range(20000)")(lambda t: G.distinct_table(t("region").sparkSession, 20_000).select("value"))
+register(
+    "source_benchmark_tables",
+    "SELECT 307200::BIGINT AS n1, 153600::BIGINT AS n2, 153600::BIGINT AS keys, 0::INT AS low, 153599::INT AS high, true AS in_range",
+)(
+    lambda t: (lambda b: b["T2"].agg(F.count("*").alias("n2"), F.countDistinct("a1").alias("keys"), F.min("a1").alias("low"), F.max("a1").alias("high")).crossJoin(
+        b["T1"].agg(F.count("*").alias("n1"), ((F.min("a1") >= 0) & (F.max("a1") < G.T1_KEYS) & (F.max("a2") < G.A2_VALUES) & (F.max("a3") < G.A3_VALUES)).alias("in_range"))
+    ))(G.benchmark_tables(t("region").sparkSession, 2))
+)
+
+
+@register("batch", "SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+def _(t):
+    """Three queries at once, by two workers."""
+    done = run_batch(t("region").sparkSession, {name: lambda name=name: t(name) for name in ("customer", "orders", "part")})
+    return t("region").sparkSession.createDataFrame([(d.name, d.result) for d in done], "name string, n long")
+
+
 # -- the templates, from plan strings -----------------------------------------------------------
 
 

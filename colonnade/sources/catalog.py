@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import columns
+from . import columns, indexes
+from .scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -19,7 +20,7 @@ class Catalog:
     """Named tables. A name can be taken once; ids are in the order of adding."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self._names, self._sorted = spark, [], {}
+        self.spark, self._names, self._sorted, self._indexes = spark, [], {}, {}
 
     def check(self, name: str) -> bool:
         return name in self._names and self.spark.catalog.tableExists(name)
@@ -34,6 +35,8 @@ class Catalog:
     def drop(self, name: str) -> None:
         self._names.remove(name)
         self._sorted.pop(name)
+        for t, c in [k for k in self._indexes if k[0] == name]:
+            self.drop_index(t, c)
         self.spark.catalog.dropTempView(name)
 
     def table(self, name: str) -> DataFrame:
@@ -59,12 +62,29 @@ class Catalog:
         return TableProperty(self.length(name), self._sorted[name])
 
     def sort(self, name: str, column: str) -> None:
-        """Sort a table by a column: later scans see it in that order."""
-        df = self.table(name).orderBy(column)
+        """Sort a table by a column. It is written once: each file holds one range of the column, in order, so
+        later scans sort nothing and skip what a condition on the column rules out."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df = materialize(self.table(name).repartitionByRange(n, column).sortWithinPartitions(column), "sorted")
         self.spark.catalog.dropTempView(name)
         df.createTempView(name)
         self._sorted[name] = column
 
+    # -- indexes ------------------------------------------------------------------------------
+
+    def build_index(self, name: str, column: str, buckets: int) -> indexes.Index:
+        """A copy of a table in sorted buckets, found again by ``index``."""
+        if (name, column) in self._indexes:
+            raise ValueError(f"{name}.{column} has an index")
+        self._indexes[name, column] = indexes.build_index(self.table(name), column, buckets)
+        return self._indexes[name, column]
+
+    def index(self, name: str, column: str) -> indexes.Index | None:
+        return self._indexes.get((name, column))
+
+    def drop_index(self, name: str, column: str) -> None:
+        indexes.drop_index(self.spark, self._indexes.pop((name, column)))
+
     # -- configuration files: [Tables] name path ... [/Tables] --------------------------------
 
     def load(self, path: str) -> list[str]:

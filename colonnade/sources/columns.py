@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.primitives import positions
+
 
 def read_column(spark: SparkSession, path: str) -> DataFrame:
     """(rid, value). Lines with one number, the counts at the head, are skipped."""
@@ -17,16 +19,18 @@ def write_column(df: DataFrame, path: str) -> None:
 
 
 def read_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Lines of integers -> rid (the line's place in its file) and a column for each number. Negative
-    numbers are refused when the rows are used, as is a line without enough numbers."""
+    """Lines of integers -> rid (the line's place, from 0; lines of several files in the order of their names)
+    and a column for each number. Negative numbers are refused when the file is read, as is a line without enough
+    numbers; empty lines do not count."""
     lines = spark.read.option("lineSep", "\n").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
     n, df = len(names), lines.where(F.trim("value") != "")
     parts = F.split(F.trim("value"), r"\s+")
     bad = (F.size(parts) != n) | F.exists(parts, lambda x: x.try_cast("int").isNull() | (x.try_cast("int") < 0))
     df = df.withColumn("parts", F.when(bad, F.raise_error(F.concat(F.lit("not a row of this table: "), "value"))).otherwise(parts))
-    # a text scan keeps the order of lines within a block; ids grow with partition and place
-    df = df.withColumn("rid", F.monotonically_increasing_id())
-    return df.select("rid", *(F.col("parts")[i].cast("int").alias(c) for i, c in enumerate(names)))
+    # a text scan keeps the order of lines within a block, and ids grow with it
+    df = df.select("file_path", "file_block_start", F.monotonically_increasing_id().alias("__at"), *(F.col("parts")[i].cast("int").alias(c) for i, c in enumerate(names)))
+    placed = positions(df, ["file_path", "file_block_start", "__at"])
+    return placed.select(F.col("pos").alias("rid"), *names)
 
 
 def write_rows(df: DataFrame, path: str, names: list[str]) -> None:

@@ -3,11 +3,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from colonnade.functions import fields as FL
 from colonnade.functions import hashing as H
 from colonnade.functions import primitives as P
 from colonnade.operators import access as A
 from colonnade.operators import joins as J
 from colonnade.operators import relational as O
+from colonnade.sources.indexes import build_index, drop_index, has_index
 
 CASES = {
     "empty": [],
@@ -119,7 +121,7 @@ def test_quantiles_and_bounds(table, spark):
     v, df = table
     s = sorted(v)
     want = [(k, s.index(s[k * len(s) // 4]), s[k * len(s) // 4]) for k in range(4)] if s else []
-    assert tuples(P.quantile_positions(df, "value", "rid", 4)) == want
+    assert tuples(P.quantile_positions(df, "value", 4)) == want
     keys = spark.createDataFrame([(x,) for x in (-100, 3, 4, 49, 1 << 30)], "k int")
     assert tuples(P.lower_bound(df, "value", keys, "k")) == [(k, sum(x < k for x in v), k in v) for k in (-100, 3, 4, 49, 1 << 30)]
     bounds = [(i // 8, s[i], s[min(i + 8, len(s)) - 1] + 1) for i in range(0, len(s), 8)] if s and max(s) < (1 << 31) - 1 else None
@@ -146,7 +148,12 @@ def test_join_algorithms(table, spark):
         assert tuples(J.join_pairs(df, s, "rid", "sid", on, a)) == want, a
     assert tuples(J.index_join(df, s, on).select("rid", "sid")) == want
     assert tuples(J.index_join(df, s, on, most_bytes=0).select("rid", "sid")) == want
-    assert tuples(J.presorted_merge_join(df, s, "value", "w", 3).select("rid", "sid")) == want
+    sides = build_index(df, "value", 3), build_index(s, "w", 3)
+    assert tuples(J.presorted_merge_join(spark, *sides).select("rid", "sid")) == want
+    assert tuples(A.index_search(spark, sides[0], s, "w").select("rid")) == [(i,) for i, _ in want]
+    for x in sides:
+        drop_index(spark, x)
+        assert not has_index(spark, x)
     assert tuples(A.tree_search(df, s, "value", "w").select("rid", "sid")) == want
     assert tuples(A.hash_search(df, s, "value", "w", len(v)).select("rid", "sid")) == want
 
@@ -177,8 +184,64 @@ def test_overlap(spark):
     s = [(i, a, a + g.randrange(-2, 200)) for i, a in enumerate(g.randrange(-100, 300) for _ in range(40))]
     R, S = spark.createDataFrame(r, "rid long, a long, b long"), spark.createDataFrame(s, "sid long, c long, d long")
     want = sorted((i, j) for i, a, b in r for j, c, d in s if a <= b and c <= d and a <= d and c <= b)
-    for cell in (1, 16, 1000):
-        assert tuples(J.overlap_join(R, S, "a", "b", "c", "d", cell).select("rid", "sid")) == want
+    assert tuples(J.overlap_join(R, S, "a", "b", "c", "d").select("rid", "sid")) == want
+
+
+def test_overlap_of_very_long_intervals(spark):
+    """An interval over the whole domain is in two cells of its own level."""
+    r = [(0, 0, 1 << 30), (1, -(1 << 31), (1 << 31) - 1), (2, 5, 5), (3, 77, 78), (4, (1 << 30) - 1, 1 << 30)]
+    s = [(i, 7 * i, 7 * i + i % 3) for i in range(200)] + [(500, -(1 << 31), (1 << 31) - 1), (501, 1 << 30, 1 << 30)]
+    R, S = spark.createDataFrame(r, "rid long, a int, b int"), spark.createDataFrame(s, "sid long, c int, d int")
+    want = sorted((i, j) for i, a, b in r for j, c, d in s if a <= d and c <= b)
+    assert tuples(J.overlap_join(R, S, "a", "b", "c", "d").select("rid", "sid")) == want
+    assert tuples(J.overlap_join(S, R, "c", "d", "a", "b").select("rid", "sid")) == want
+    assert J.overlap_join(R.limit(0), S, "a", "b", "c", "d").count() == 0
+
+
+def test_merge_of_indexes_shuffles_and_sorts_nothing(spark):
+    a, b = spark.range(1000).selectExpr("id as a", "id % 7 as v"), spark.range(500).selectExpr("id * 2 as b")
+    sides = build_index(a, "a", 4), build_index(b, "b", 4)
+    joined = J.presorted_merge_join(spark, *sides)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert joined.count() == 500
+    plan = A.index_search(spark, sides[0], b, "b")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1
+    with pytest.raises(ValueError):
+        J.presorted_merge_join(spark, sides[0], build_index(b, "b", 5))
+
+
+def test_keys_that_are_expressions(table):
+    v, df = table
+    want = sorted(range(len(v)), key=lambda i: (-(v[i] % 5), i))
+    assert tuples(O.order_positions(df, F.pmod("value", F.lit(5)).desc(), "rid").select("pos", "rid")) == list(enumerate(want))
+    assert tuples(P.split(df, F.pmod("value", F.lit(3)), "rid").select("part", "rid")) == sorted((x % 3, i) for i, x in enumerate(v))
+
+
+def test_plans_do_not_grow_with_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        placed = P.positions(spark.range(2000).toDF("id"), ["id"])
+        assert len(placed._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+        assert placed.where("id <> pos").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pivots_and_fields(spark):
+    df = spark.range(50).withColumn("v", (F.col("id") - 10).cast("int"))
+    for pivots in ([], [5], [0, 1, 2, 20], list(range(-5, 30, 3))):
+        assert [r.p for r in df.select("id", H.pivot_part(F.col("v"), pivots).alias("p")).orderBy("id").collect()] == [sum(x <= i - 10 for x in pivots) for i in range(50)]
+    with pytest.raises(ValueError):
+        H.pivot_part(F.col("v"), list(range(2000)))
+    with pytest.raises(ValueError):
+        FL.put_fields(F.col("r"), {"q": F.lit(1)})
+
+
+def test_nested_loop_for_small_sides_only(spark):
+    a, b = spark.range(1 << 22).toDF("a"), spark.range(1 << 22).toDF("b")
+    assert "CartesianProduct" not in J.join(a, b, F.col("a") == F.col("b"), "nested")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hash_buckets(table, spark):

@@ -29,6 +29,13 @@ def test_catalog(spark, tmp_path):
     assert c.column("CatR.a00").columns == ["a00"]
     c.sort("CatR", "a00")
     assert c.property("CatR").sorted_by == "a00"
+    assert "Sort" not in c.table("CatR")._jdf.queryExecution().executedPlan().toString()
+    for part in c.table("CatR").select("a00").rdd.glom().collect():
+        assert [r.a00 for r in part] == sorted(r.a00 for r in part) or len(part) > 1
+    index = c.build_index("CatS", "value", 2)
+    assert c.index("CatS", "value") == index and c.index("CatR", "a00") is None and index.table(spark).count() == 20
+    with pytest.raises(ValueError):
+        c.build_index("CatS", "value", 3)
     c.dump(str(tmp_path / "conf"), str(tmp_path / "data"))
     before = sorted(map(tuple, c.table("CatR").select("rid", "a00").collect()))
     c.drop("CatR")
@@ -51,6 +58,15 @@ def test_row_file(spark, tmp_path):
     columns.write_rows(df, str(tmp_path / "t"), ["a1", "a2", "a3"])
     got = columns.read_rows(spark, str(tmp_path / "t"), ["a1", "a2", "a3"])
     assert sorted(map(tuple, got.collect())) == [(0, 1, 2, 3), (1, 4, 5, 6)]
+    many = [(i, 3 * i, 7) for i in range(5000)]
+    spark.createDataFrame(many, "a1 int, a2 int, a3 int").coalesce(1).write.mode("overwrite").csv(str(tmp_path / "many"), sep=" ")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:  # a file of several splits
+        got = columns.read_rows(spark, str(tmp_path / "many"), ["a1", "a2", "a3"])
+        assert sorted(map(tuple, got.collect())) == [(i, *r) for i, r in enumerate(many)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     (tmp_path / "bad.txt").write_text("1 -2 3\n")
     with pytest.raises(Exception, match="not a row"):
         columns.read_rows(spark, str(tmp_path / "bad.txt"), ["a1", "a2", "a3"]).collect()
