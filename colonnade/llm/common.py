@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, materialize, scratch, shared_dir  # noqa: F401
+
 #: White space and its complement as the corpus contracts define them (not Unicode's).
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,47 +24,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests, a laptop)
-    the warehouse is used, which Spark's own tables share in the same way.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that all executors share")
-    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/colonnade"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    # deleteOnExit ignores paths that do not exist yet, so the folder is made at once
-    fs.mkdirs(hadoop)
-    fs.deleteOnExit(hadoop)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back: cuts the lineage in a way that survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.written_to = path
-    return table
-
-
-def discard(spark: SparkSession, *written: DataFrame | str) -> None:
-    """Delete tables that ``materialize`` wrote, or other paths of ``scratch``, that no later plan reads."""
-    for x in written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.written_to)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _located(docs: DataFrame) -> bool:
     """Whether every row of ``docs`` has a file and a place in it (no column of its own may hide them)."""
     if "_metadata" in (c.lower() for c in docs.columns):
@@ -115,3 +76,28 @@ def slices(batch: pa.RecordBatch, column: int, rows: int, size: int = 1 << 20) -
         to = max(at + 1, min(at + rows, int(np.searchsorted(ends, begin + size, side="right"))))
         yield batch.slice(at, to - at)
         at = to
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the machine, as far as allocators can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def frugal(run: Callable) -> Callable:
+    """A function for mapInArrow that releases memory batch by batch: Python workers live on from task to task,
+    and several share an executor with its JVM."""
+
+    def wrapped(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                release()
+
+        yield from run(each())
+        release()
+
+    return wrapped

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from .common import slices
+from .common import frugal, slices
 from .memory import Memory, ragged
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -279,8 +279,8 @@ class Lattice:
         alone = [np.flatnonzero(size > _TOGETHER)]
         for n in np.unique(size[size <= _TOGETHER]).tolist():
             some = np.flatnonzero(size == n)
-            for at in range(0, len(some), 8192):
-                own = some[at : at + 8192]
+            for at in range(0, len(some), 4096):
+                own = some[at : at + 4096]
                 alone.append(own[~self._learn(memory, slots[own], codes[start[own] + np.arange(n)[:, None]])])
         for i in np.concatenate(alone).tolist():
             paths = self._part(codes[start[i] : start[i] + size[i]].tobytes().decode("utf-32-le", "surrogatepass"), memory.n)
@@ -477,7 +477,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
     def run(batches):
         model = lattice(path)
         for batch in batches:
-            for some in slices(batch, batch.num_columns - 1, 2000, 2 << 20):
+            for some in slices(batch, batch.num_columns - 1, 2000):
                 ids, ends, scores, others = model.encode_batch(some.column(some.num_columns - 1).to_pylist(), n)
                 more = [p for paths in others for p in paths]
                 further = np.concatenate([p[1] for p in more]) if more else np.zeros(0, np.uint32)
@@ -495,7 +495,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) if keep else ""
-    return rows.mapInArrow(run, f"doc_id long, {kept}ids array<int>, score double, second double, others array<struct<score: double, ids: array<int>>>")
+    return rows.mapInArrow(frugal(run), f"doc_id long, {kept}ids array<int>, score double, second double, others array<struct<score: double, ids: array<int>>>")
 
 
 def _offsets(ends: np.ndarray) -> pa.Array:
@@ -524,7 +524,7 @@ def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 texts = [x.decode("utf-8") for x in model.decode_all(ids, ends)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, text string")
 
 
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -557,7 +557,7 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, score double, second double, decoded_sha256 string, n_paths long, others_crc32 long"
-    return encoded.select("doc_id", "ids", "score", "second", "others").mapInArrow(run, schema)
+    return encoded.select("doc_id", "ids", "score", "second", "others").mapInArrow(frugal(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

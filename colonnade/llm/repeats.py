@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keyed, materialize, partitions
+from .common import discard, frugal, keyed, materialize, partitions
 from .side import get, put
 from .suffix_array import common_prefixes, suffix_array
 
@@ -247,8 +247,8 @@ def count_anchors(rows: DataFrame, copies: str, n: int) -> DataFrame:
             }
         )
 
-    sent = rows.select("_f", "_r", "text").mapInArrow(send, "shard int, _f long, _r long, digests binary")
-    return sent.repartitionById(n, F.col("shard")).mapInArrow(meet, "shard int, _f long, _r long, bits binary")
+    sent = rows.select("_f", "_r", "text").mapInArrow(frugal(send), "shard int, _f long, _r long, digests binary")
+    return sent.repartitionById(n, F.col("shard")).mapInArrow(frugal(meet), "shard int, _f long, _r long, bits binary")
 
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -315,7 +315,7 @@ def send_fragments(rows: DataFrame, copies: str, seen: str, n: int, shards: int)
                     }
                 )
 
-    return rows.select("_f", "_r", "text", "doc_id").mapInArrow(run, "shard int, _f long, blob binary")
+    return rows.select("_f", "_r", "text", "doc_id").mapInArrow(frugal(run), "shard int, _f long, blob binary")
 
 
 _KINDS = ("<u8", "<u8", "u1", "u1", "<u4", "u1", "<i8", "<i8", "<i8")
@@ -446,7 +446,7 @@ def sort_shards(fragments: DataFrame, n: int) -> DataFrame:
             )
 
     dealt = fragments.repartitionById(n, F.pmod("shard", F.lit(n))).sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "_f long, _r long, ranges binary")
+    return dealt.mapInArrow(frugal(run), "_f long, _r long, ranges binary")
 
 
 def cut(rows: DataFrame, copies: str, found: str) -> DataFrame:
@@ -482,7 +482,7 @@ def cut(rows: DataFrame, copies: str, found: str) -> DataFrame:
                     out = []
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return rows.select("_f", "_r", "text", "doc_id").mapInArrow(run, "doc_id long, kept binary, n_bytes long, spans array<array<long>>")
+    return rows.select("_f", "_r", "text", "doc_id").mapInArrow(frugal(run), "doc_id long, kept binary, n_bytes long, spans array<array<long>>")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -522,7 +522,7 @@ def digests(result: DataFrame) -> DataFrame:
                 }
             )
 
-    return result.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return result.mapInArrow(frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
