@@ -13,16 +13,18 @@ and a sketch: minima of independent hashes over the phrase names of level 2 (24
 levels 3 and 4 (40 slots), 16 bits of each in hexadecimal. The likeness of two fingerprints is the
 share of equal slots; 1 if the whole texts' names are equal.
 
-All texts of a batch are parsed at once with array operations.
+The texts of a batch, which is bounded by bytes, are parsed at once with array operations.
 
 Defined cases: null and empty texts have the name 0 and are like each other only; a null doc_id
-sorts after all others; rows that repeat follow each other; the only row of a table is its own
-next one; texts of any length are parsed whole; other columns are not read.
+sorts after all others; rows that repeat follow each other, those of one doc_id by their texts; the only row
+of a table is its own next one; texts of any length are parsed whole; an empty table gives an empty result;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, partitions
+from .common import frugal, partitions, slices
 
 #: Slots of the sketch by the levels that fill them.
 SLOTS = (((2,), 24), ((3, 4), 40))
@@ -184,8 +186,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch, 1, 1000):
                 got = text_of(*sketch([(x.as_py() or "").encode("utf-8") for x in some.column(1)]))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(got, pa.string())], names=["doc_id", "fingerprint"])
 
@@ -218,6 +219,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.col("key").desc(), "text")
 
 
+def _together(rows: list[tuple], most: int = 500, size: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Parts of rows (doc_id, text, next text) of so many characters, one row at least."""
+    some, n = [], 0
+    for row in rows:
+        if some and (len(some) == most or n + len(row[1]) > size):
+            yield some
+            some, n = [], 0
+        some.append(row)
+        n += len(row[1])
+    if some:
+        yield some
+
+
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how alike it is to that and to the
     next document: see ``query``."""
@@ -231,8 +245,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
                 if held and held[0] == bucket:
                     ready.append((held[1], held[2], text or ""))
                 held = None if ghost else (bucket, doc_id, text or "")
-            for at in range(0, len(ready), 500):
-                some = ready[at : at + 500]
+            for some in _together(ready):
                 edited = [t[: len(t) - len(t) // 3] + following[: len(t) // 3] for _, t, following in some]
                 raw = [e.encode("utf-8") for e in edited]
                 # a document's next one is the following row's own text, but for the last row
