@@ -11,7 +11,8 @@ fragments are one. Each shard sorts its suffixes by induced sorting; windows nex
 whose permuted common prefix reaches LENGTH are equal, and all but the first of them repeat.
 
 1. Copies: of equal texts all but the first repeat as a whole, and leave.
-2. Anchors are counted: their digests, made distinct per block of rows, meet by digest.
+2. Anchors are counted: their digests, made distinct per block of rows, meet by digest, and each block gets
+   back those that are repeated.
 3. Fragments around anchors seen twice are sent to shards. An anchor with very many different
    fragments (where a passage in a third of all documents begins) would bring them all to one shard; its
    windows go one by one by their own digests, so only equal ones, which are merged per block, meet.
@@ -205,22 +206,23 @@ def _shard(digest: np.ndarray, n: int) -> np.ndarray:
 
 
 def count_anchors(rows: DataFrame, copies: str, n: int) -> DataFrame:
-    """_f, _r (first row of a part of a block), bits: for the block's distinct anchors in order, two
-    values each: seen in another block, and with very many fragments."""
+    """_f, _r (first row of a block), found: the block's anchors that are repeated, and how: 1, or 2 for those
+    with very many fragments. Which part of a block a task reads makes no difference."""
 
     def send(batches):
-        for f, _, rows, texts, _ in _blocks(batches):
+        for f, block, rows, texts, _ in _blocks(batches):
             b = _Block(texts, rows, _copies_of(copies, f, rows))
             shard = _shard(b.distinct, n)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(n + 1))
             full = np.flatnonzero(np.diff(cuts))
-            n_of = np.minimum(b.fragments(), 2**32 - 1).astype("<u4")
+            # the highest bit: twice in this part of the block
+            n_of = np.minimum(b.fragments(), 2**31 - 1).astype("<u4") | (b.twice.astype("<u4") << np.uint32(31))
             some = [order[cuts[s] : cuts[s + 1]] for s in full.tolist()]
             blobs = [b.distinct[x].tobytes() + n_of[x].tobytes() for x in some]
             k = len(full)
             yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array(full, pa.int32()), "_f": pa.array([f] * k, pa.int64()), "_r": pa.array([rows[0]] * k, pa.int64()), "digests": pa.array(blobs, pa.binary())}
+                {"shard": pa.array(full, pa.int32()), "_f": pa.array([f] * k, pa.int64()), "_r": pa.array([block * BLOCK] * k, pa.int64()), "digests": pa.array(blobs, pa.binary())}
             )
 
     def meet(batches):
@@ -234,21 +236,26 @@ def count_anchors(rows: DataFrame, copies: str, n: int) -> DataFrame:
         digests = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(blobs, size.tolist(), strict=True)])
         n_of = np.concatenate([np.frombuffer(x, "<u4", n, 8 * n) for x, n in zip(blobs, size.tolist(), strict=True)])
         _, of, times = np.unique(digests, return_inverse=True, return_counts=True)
-        many = np.bincount(of, weights=n_of) > MANY
-        bits = ((times > 1) | many).astype(np.uint8)[of] + many.astype(np.uint8)[of]
-        out = [x.tobytes() for x in np.split(bits, np.cumsum(size)[:-1])]
-        keep = [i for i, x in enumerate(out) if any(x)]
+        many = np.bincount(of, weights=n_of & np.uint32(2**31 - 1)) > MANY
+        how = ((times > 1) | many).astype(np.uint8)[of] + many.astype(np.uint8)[of]
+        how = np.maximum(how, (n_of >> np.uint32(31)).astype(np.uint8))
+        cuts = np.cumsum(size)[:-1]
+        keep, out = [], []
+        for k, (d, h) in enumerate(zip(np.split(digests, cuts), np.split(how, cuts), strict=True)):
+            if h.any():
+                keep.append(keys[k])
+                out.append(zstandard.compress(d[h > 0].tobytes() + h[h > 0].tobytes(), 1))
         yield pa.RecordBatch.from_pydict(
             {
-                "shard": pa.array([keys[i][0] for i in keep], pa.int32()),
-                "_f": pa.array([keys[i][1] for i in keep], pa.int64()),
-                "_r": pa.array([keys[i][2] for i in keep], pa.int64()),
-                "bits": pa.array([zstandard.compress(out[i]) for i in keep], pa.binary()),
+                "shard": pa.array([k[0] for k in keep], pa.int32()),
+                "_f": pa.array([k[1] for k in keep], pa.int64()),
+                "_r": pa.array([k[2] for k in keep], pa.int64()),
+                "found": pa.array(out, pa.binary()),
             }
         )
 
     sent = rows.select("_f", "_r", "text").mapInArrow(frugal(send), "shard int, _f long, _r long, digests binary")
-    return sent.repartitionById(n, F.col("shard")).mapInArrow(frugal(meet), "shard int, _f long, _r long, bits binary")
+    return sent.repartitionById(n, F.col("shard")).mapInArrow(frugal(meet), "shard int, _f long, _r long, found binary")
 
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -259,21 +266,22 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def send_fragments(rows: DataFrame, copies: str, seen: str, n: int, shards: int) -> DataFrame:
+def send_fragments(rows: DataFrame, copies: str, seen: str, shards: int) -> DataFrame:
     """shard and a blob of fragments: see ``_pack``."""
 
     def run(batches):
-        for f, _, rows, texts, more in _blocks(batches):
+        for f, block, rows, texts, more in _blocks(batches):
             b = _Block(texts, rows, _copies_of(copies, f, rows))
             if not len(b.digest):
                 continue
-            # 0: once, 1: repeated, 2: in very many blocks
-            state = b.twice.astype(np.uint8)
-            got = get(seen, f, ["shard", "_r", "bits"], rows[0], rows[0])
-            shard = _shard(b.distinct, n)
-            for s, bits in zip(got["shard"].to_pylist(), got["bits"].to_pylist(), strict=True):
-                mine = np.flatnonzero(shard == s)
-                state[mine] = np.maximum(state[mine], np.frombuffer(zstandard.decompress(bits), np.uint8))
+            # 0: once, 1: repeated, 2: with very many fragments
+            state = np.zeros(len(b.distinct), np.uint8)
+            for found in get(seen, f, ["found"], block * BLOCK, block * BLOCK)["found"].to_pylist():
+                raw = zstandard.decompress(found)
+                digests, how = np.frombuffer(raw, np.uint64, len(raw) // 9), np.frombuffer(raw, np.uint8, len(raw) // 9, len(raw) // 9 * 8)
+                at = np.minimum(np.searchsorted(b.distinct, digests), len(b.distinct) - 1)
+                mine = b.distinct[at] == digests
+                state[at[mine]] = np.maximum(state[at[mine]], how[mine])
             state = state[b.of]
             some, hot = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
             first = np.concatenate([b.first[some], _ragged(b.first[hot], b.count[hot])])
@@ -496,12 +504,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_f", "_r")
     groups = materialize(ids.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"), "groups")
     copies = ids.drop("size").join(groups, "digest").where("_f <> first._f or _r <> first._r")
-    copies = put(copies.select("_f", "_r"), "copies", "_r")
-    seen = put(count_anchors(rows, copies, n), "seen", "_r")
+    copies = put(copies.select("_f", "_r"), "copies")
+    seen = put(count_anchors(rows, copies, n), "seen")
     shards = max(n, (ids.agg(F.sum("size")).first()[0] or 0) // PER_SHARD)
     discard(spark, ids, groups)
-    fragments = send_fragments(rows, copies, seen, n, shards)
-    found = put(sort_shards(fragments, n), "found", "_r")
+    fragments = send_fragments(rows, copies, seen, shards)
+    found = put(sort_shards(fragments, n), "found")
     discard(spark, seen)
     return cut(rows, copies, found)
 

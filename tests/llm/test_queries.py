@@ -310,6 +310,29 @@ def test_op9_passages(spark, write, many, monkeypatch):
     assert got == sorted(cut(docs), key=repr)
 
 
+def test_op9_however_files_are_split(spark, tmp_path, monkeypatch):
+    """The steps may read a file in different splits, as they do when executors come and go between them."""
+    from colonnade.llm import repeats
+
+    p, q = prose(720, 30), prose(721, 30)
+    docs = [(i, prose(1800 + i, 20) + (p if i % 40 == 3 else "") + prose(1900 + i, 5) + (q if i in (17, 1210) else "")) for i in range(1300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    frame.write.option("parquet.block.size", 16384).option("parquet.page.size.row.check.min", 10).parquet(str(tmp_path / "documents.parquet"))
+    before, send = spark.conf.get("spark.sql.files.maxPartitionBytes"), repeats.send_fragments
+
+    def later(*args):
+        fragments = send(*args)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        return fragments
+
+    monkeypatch.setattr(repeats, "send_fragments", later)
+    try:
+        got = plain(run(spark, "op9_repeats", str(tmp_path)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert spark.read.parquet(str(tmp_path / "documents.parquet")).count() == 1300 and got == sorted(cut(docs), key=repr)
+
+
 def test_op10(spark, corpus):
     rows = run(spark, "op10_mixing", corpus)
     sizes = collections.defaultdict(list)
