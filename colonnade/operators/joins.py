@@ -63,11 +63,6 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int) ->
     return l.join(r, "__cell").where(F.abs(F.col(a) - F.col(b)) <= width).drop("__cell")
 
 
-def _levels(df: DataFrame, low: str, high: str) -> list[int]:
-    """The levels of a side's intervals: 64 numbers at most."""
-    return sorted(r.l for r in df.select(_level(low, high).alias("l")).distinct().collect())
-
-
 def _level(low: str, high: str) -> Column:
     """The least k such that cells of 2**k are longer than the interval's length."""
     d = F.col(high).cast("long") - F.col(low).cast("long")
@@ -82,6 +77,9 @@ def overlap_join(left: DataFrame, right: DataFrame, l_low: str, l_high: str, r_l
     Empty intervals match nothing."""
     l = left.where(F.col(l_low) <= F.col(l_high))  # noqa: E741
     r = right.where(F.col(r_low) <= F.col(r_high))
+    # the levels of each side: 64 numbers at most
+    levels = l.select(F.lit(0).alias("side"), _level(l_low, l_high).alias("level")).union(r.select(F.lit(1), _level(r_low, r_high))).distinct().collect()
+    of_left, of_right = (sorted(x.level for x in levels if x.side == k) for k in (0, 1))
 
     def placed(df: DataFrame, low: str, high: str, others: list[int], own: str) -> DataFrame:
         df = df.withColumn(own, _level(low, high))
@@ -90,7 +88,7 @@ def overlap_join(left: DataFrame, right: DataFrame, l_low: str, l_high: str, r_l
         cell = lambda c: F.expr(f"shiftright(cast(`{c}` as bigint), __level)")
         return df.withColumn("__cell", F.explode(F.sequence(cell(low), cell(high))))
 
-    pairs = placed(l, l_low, l_high, _levels(r, r_low, r_high), "__own_l").join(placed(r, r_low, r_high, _levels(l, l_low, l_high), "__own_r"), ["__level", "__cell"])
+    pairs = placed(l, l_low, l_high, of_right, "__own_l").join(placed(r, r_low, r_high, of_left, "__own_r"), ["__level", "__cell"])
     meets = (F.col(l_low) <= F.col(r_high)) & (F.col(r_low) <= F.col(l_high))
     once = (F.greatest("__own_l", "__own_r") == F.col("__level")) & (F.expr(f"shiftright(cast(greatest(`{l_low}`, `{r_low}`) as bigint), __level)") == F.col("__cell"))
     return pairs.where(meets & once).drop("__level", "__cell", "__own_l", "__own_r")
