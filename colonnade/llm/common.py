@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import itertools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -87,6 +88,20 @@ def release() -> None:
         pass
 
 
+#: Bytes of an Arrow batch between the JVM and Python workers, at most: both hold some of them at a time.
+BATCH_BYTES = 8 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` by a frugal function. Lowers the session's bound on batches, which counts when the plan
+    is run, to ``BATCH_BYTES``, if it is higher."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"(-?\d+)b?$", conf.get(key))
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(frugal(run), schema)
+
+
 def frugal(run: Callable) -> Callable:
     """A function for mapInArrow that releases memory batch by batch: Python workers live on from task to task,
     and several share an executor with its JVM."""

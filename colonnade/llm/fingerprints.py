@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, partitions, slices
+from .common import map_arrow, partitions, slices
 
 #: Slots of the sketch by the levels that fill them.
 SLOTS = (((2,), 24), ((3, 4), 40))
@@ -191,7 +191,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(got, pa.string())], names=["doc_id", "fingerprint"])
 
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
-    return rows.mapInArrow(frugal(run), "doc_id long, fingerprint string")
+    return map_arrow(rows, run, "doc_id long, fingerprint string")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(frugal(run), schema)
+    return map_arrow(with_next(docs), run, schema)
 
 
 def _following(some, root, slots):

@@ -30,7 +30,7 @@ import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, materialize
+from .common import map_arrow, materialize
 from .side import store
 
 UNKNOWN = "und"
@@ -212,7 +212,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Trained:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
 
-    counts = rows.select("text").mapInArrow(frugal(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = map_arrow(rows.select("text"), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequencies = materialize(counts, "frequencies").written_to
 
     # Smallest digests first, of ids alone, language by language: a top-k for each is all that is sorted.
@@ -238,7 +238,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Trained:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     # texts are reduced to at most BUCKETS counts before they are sent anywhere
-    few = few.mapInArrow(frugal(sparse), "lang string, digest long, doc_id long, at binary, n binary")
+    few = map_arrow(few, sparse, "lang string, digest long, doc_id long, at binary, n binary")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "doc_id"))
     taken = few.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "rank", "at", "n")
 
@@ -253,7 +253,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Trained:
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("lang", pa.string()), ("bias", pa.float64()), ("temperature", pa.float64()), ("at", pa.binary()), ("w", pa.binary())]))
 
     # one task: the sample's bound is the bound of what it reads
-    weights = taken.repartition(1).mapInArrow(frugal(fit_all), "lang string, bias double, temperature double, at binary, w binary")
+    weights = map_arrow(taken.repartition(1), fit_all, "lang string, bias double, temperature double, at binary, w binary")
     weights = materialize(weights, "weights")
     return Trained(frequencies, weights.written_to, bool(weights.limit(1).count()))
 
@@ -270,7 +270,7 @@ def predict(docs: DataFrame, model: Trained, *keep: str) -> DataFrame:
 
     rows = docs.select(*keep, F.col("text").alias("__text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) if keep else ""
-    return rows.mapInArrow(frugal(run), f"{fields}lang_pred string, score double")
+    return map_arrow(rows, run, f"{fields}lang_pred string, score double")
 
 
 def held_out():

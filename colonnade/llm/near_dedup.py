@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, frugal, keyed, materialize, partitions, slices
+from .common import discard, keyed, map_arrow, materialize, partitions, slices
 from .graph import components
 
 BANDS, ROWS, BITS = 42, 6, 2
@@ -185,7 +185,7 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], *(pa.array(s[x]) for x in names), bands], names=["_f", "_r", "doc_id", *names, "bands"])
 
     rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(frugal(run), f"_f long, _r long, doc_id long, {', '.join(f'{x} long' for x in names)}, bands array<long>")
+    return map_arrow(rows, run, f"_f long, _r long, doc_id long, {', '.join(f'{x} long' for x in names)}, bands array<long>")
 
 
 def fine(texts: DataFrame, k: int) -> DataFrame:
@@ -200,7 +200,7 @@ def fine(texts: DataFrame, k: int) -> DataFrame:
                 words = pack(minima(values, (ends - n)[full], full, len(n), N_HASHES, N_HASHES + N_FINE))
                 yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, words)], names=["rep", *_FINE])
 
-    return texts.select("rep", "text").mapInArrow(frugal(run), "rep long, " + ", ".join(f"{t} long" for t in _FINE))
+    return map_arrow(texts.select("rep", "text"), run, "rep long, " + ", ".join(f"{t} long" for t in _FINE))
 
 
 def estimate(a: list[str], b: list[str]):
@@ -249,7 +249,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                             found.append((own_doc, doc))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(frugal(run), "a long, b long")
+    return map_arrow(rows, run, "a long, b long")
 
 
 def one_id(some: DataFrame, classes: DataFrame) -> DataFrame:

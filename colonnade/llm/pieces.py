@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from .common import frugal, slices
+from .common import map_arrow, slices
 from .memory import Memory, ragged
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -495,7 +495,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) if keep else ""
-    return rows.mapInArrow(frugal(run), f"doc_id long, {kept}ids array<int>, score double, second double, others array<struct<score: double, ids: array<int>>>")
+    return map_arrow(rows, run, f"doc_id long, {kept}ids array<int>, score double, second double, others array<struct<score: double, ids: array<int>>>")
 
 
 def _offsets(ends: np.ndarray) -> pa.Array:
@@ -524,7 +524,7 @@ def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 texts = [x.decode("utf-8") for x in model.decode_all(ids, ends)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -557,7 +557,7 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, score double, second double, decoded_sha256 string, n_paths long, others_crc32 long"
-    return encoded.select("doc_id", "ids", "score", "second", "others").mapInArrow(frugal(run), schema)
+    return map_arrow(encoded.select("doc_id", "ids", "score", "second", "others"), run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

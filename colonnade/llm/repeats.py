@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, frugal, keyed, materialize, partitions
+from .common import discard, keyed, map_arrow, materialize, partitions
 from .side import get, put
 from .suffix_array import common_prefixes, suffix_array
 
@@ -254,8 +254,8 @@ def count_anchors(rows: DataFrame, copies: str, n: int) -> DataFrame:
             }
         )
 
-    sent = rows.select("_f", "_r", "text").mapInArrow(frugal(send), "shard int, _f long, _r long, digests binary")
-    return sent.repartitionById(n, F.col("shard")).mapInArrow(frugal(meet), "shard int, _f long, _r long, found binary")
+    sent = map_arrow(rows.select("_f", "_r", "text"), send, "shard int, _f long, _r long, digests binary")
+    return map_arrow(sent.repartitionById(n, F.col("shard")), meet, "shard int, _f long, _r long, found binary")
 
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -323,7 +323,7 @@ def send_fragments(rows: DataFrame, copies: str, seen: str, shards: int) -> Data
                     }
                 )
 
-    return rows.select("_f", "_r", "text", "doc_id").mapInArrow(frugal(run), "shard int, _f long, blob binary")
+    return map_arrow(rows.select("_f", "_r", "text", "doc_id"), run, "shard int, _f long, blob binary")
 
 
 _KINDS = ("<u8", "<u8", "u1", "u1", "<u4", "u1", "<i8", "<i8", "<i8")
@@ -454,7 +454,7 @@ def sort_shards(fragments: DataFrame, n: int) -> DataFrame:
             )
 
     dealt = fragments.repartitionById(n, F.pmod("shard", F.lit(n))).sortWithinPartitions("shard")
-    return dealt.mapInArrow(frugal(run), "_f long, _r long, ranges binary")
+    return map_arrow(dealt, run, "_f long, _r long, ranges binary")
 
 
 def cut(rows: DataFrame, copies: str, found: str) -> DataFrame:
@@ -490,7 +490,7 @@ def cut(rows: DataFrame, copies: str, found: str) -> DataFrame:
                     out = []
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return rows.select("_f", "_r", "text", "doc_id").mapInArrow(frugal(run), "doc_id long, kept binary, n_bytes long, spans array<array<long>>")
+    return map_arrow(rows.select("_f", "_r", "text", "doc_id"), run, "doc_id long, kept binary, n_bytes long, spans array<array<long>>")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -530,7 +530,7 @@ def digests(result: DataFrame) -> DataFrame:
                 }
             )
 
-    return result.mapInArrow(frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(result, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import encoder
-from .common import frugal
+from .common import map_arrow
 
 #: Pre-tokens of a leaf when the tree is built; a leaf that grows past eight times that is split.
 LEAF = 16
@@ -213,7 +213,7 @@ def count_edited(docs: DataFrame, edits=edits_of, path: str | None = None) -> Da
 
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")
     schema = "doc_id long, n_tokens long, n_pretokens long, n_tokens_edited long, n_reencoded long, edited_sha256 string"
-    return rows.mapInArrow(frugal(run), schema)
+    return map_arrow(rows, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

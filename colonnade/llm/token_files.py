@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import frugal, materialize, partitions, scratch, slices
+from .common import map_arrow, materialize, partitions, scratch, slices
 from .side import store
 
 MAGIC = b"CDAC0001"
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = END_ID, path: str |
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    files = rows.mapInArrow(frugal(write), "part long, number long, file string, n_docs long, n_tokens long")
+    files = map_arrow(rows, write, "part long, number long, file string, n_docs long, n_tokens long")
     files = materialize(files, "token-files")
     ahead = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)))
@@ -212,7 +212,7 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.cdac").load(folder)
     stored = stored.select("content", F.element_at(F.split("path", "/"), -1).alias("file"))
     stored = stored.join(files.select("file", "start"), "file").select("content", "start")
-    return stored.mapInArrow(frugal(read), "doc_id long, start long, n_tokens long, ids binary, middle_id long")
+    return map_arrow(stored, read, "doc_id long, start long, n_tokens long, ids binary, middle_id long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
