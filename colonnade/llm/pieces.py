@@ -61,7 +61,7 @@ USER_DEFINED = 1e8
 ONE = 1 << 20
 
 #: Remembered parts, and ids of their paths.
-REMEMBERED, REMEMBERED_IDS = 240_000, 6_000_000
+REMEMBERED, REMEMBERED_IDS = 160_000, 3_000_000
 
 #: Paths of a text that the query and the pipeline write.
 PATHS = 4
@@ -279,8 +279,8 @@ class Lattice:
         alone = [np.flatnonzero(size > _TOGETHER)]
         for n in np.unique(size[size <= _TOGETHER]).tolist():
             some = np.flatnonzero(size == n)
-            for at in range(0, len(some), 4096):
-                own = some[at : at + 4096]
+            for at in range(0, len(some), 2048):
+                own = some[at : at + 2048]
                 alone.append(own[~self._learn(memory, slots[own], codes[start[own] + np.arange(n)[:, None]])])
         for i in np.concatenate(alone).tolist():
             paths = self._part(codes[start[i] : start[i] + size[i]].tobytes().decode("utf-32-le", "surrogatepass"), memory.n)
@@ -477,7 +477,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, keep: tuple[str, ...
     def run(batches):
         model = lattice(path)
         for batch in batches:
-            for some in slices(batch, batch.num_columns - 1, 2000):
+            for some in slices(batch, batch.num_columns - 1, 2000, 1 << 19):
                 ids, ends, scores, others = model.encode_batch(some.column(some.num_columns - 1).to_pylist(), n)
                 more = [p for paths in others for p in paths]
                 further = np.concatenate([p[1] for p in more]) if more else np.zeros(0, np.uint32)
