@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import discard, keyed, materialize, scratch, with_keys
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FILES = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
 
 #: Rows compared against one replica of a kept text; a larger group gets more replicas.
 PER_REPLICA = 512
@@ -55,6 +56,10 @@ def first_seen(stream: DataFrame, out: str, checkpoint: str) -> None:
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     }
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getScheme() == "file":
+        # a mounted folder renames in one step by itself; the usual manager runs a program (readlink) for each file it renames
+        conf["spark.sql.streaming.checkpointFileManagerClass"] = FILES
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
